@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from heliotrace.llm import sentencepiece_codec, token_counts, toxicity
+from heliotrace.llm import chat_format, sentencepiece_codec, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_url_filters": url_filter.op3_url_filters,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_chat_formatting": chat_format.op9_chat_formatting,
+}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": url_filter.ORACLE,
+    "op9_chat_formatting": chat_format.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -7,9 +7,9 @@ pieces where the model has them, else the unknown piece. Where no piece holds a
 another character, the best path of a text is made of the best paths of its words, so words are
 encoded once and kept in a bounded table.
 
-The scores of the model file are taken as they are. For a unigram model the result is the
-library's. A file trained by merges holds ranks as scores; its best-scoring path is well defined
-and is what the library gives for the same pieces read as a unigram model, but not its merge order.
+The scores of the model file are taken as a unigram model's log probabilities. A file trained by
+merges holds ranks as scores: its best-scoring path is well defined and decodes to the same text,
+but it is not the order in which the merges would have been applied.
 
 Defined results: a null text counts as empty and has no pieces; a null id stays null; repeated
 rows give repeated rows; an empty table gives an empty table; equal scores are settled by the
