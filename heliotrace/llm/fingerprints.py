@@ -112,7 +112,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     heads = heads.select("doc_id", "x.*", target.alias("part"), F.lit(1).alias("copy"))
     both = ranged.select("doc_id", *columns, "part", "copy").unionByName(heads)
     w = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), *columns)
-    return both.select("doc_id", *columns, "copy", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("copy = 0")
+    return both.select("doc_id", *columns, "copy", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns if c != "sha")).where("copy = 0")
 
 
 def _edited(text: Column, following: Column) -> Column:
@@ -124,7 +124,7 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = docs.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", wide_hash(F.col("canon")).alias("h"), F.sha2("canon", 256).alias("sha"))
     pairs = with_next(own, ["text", "h", "sha"]).select("doc_id", F.length("text").cast("long").alias("n_chars"), "h", "next_h", "sha", _edited(F.col("text"), F.col("next_text")).alias("edited"))
-    pairs = pairs.select("doc_id", "n_chars", "h", "next_h", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("c"))
+    pairs = pairs.select("doc_id", "n_chars", "h", "next_h", "sha", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("c"))
     small = store(pairs.select("doc_id", "n_chars", "h", "next_h", "sha", "edited_sha256", wide_hash(F.col("c")).alias("eh"), F.sha2("c", 256).alias("edited_canon_sha")), "fingerprints").read()
 
     # Bytes are compared in every bucket that several rows share, be they texts or edited texts.
