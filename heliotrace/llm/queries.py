@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliotrace.llm import chat_format, decontamination, fingerprints, pii, sentencepiece_codec, token_counts, toxicity, url_filter
+from heliotrace.llm import chat_format, decontamination, fingerprints, jaccard_join, pii, sentencepiece_codec, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op9_chat_formatting": chat_format.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
