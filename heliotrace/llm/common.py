@@ -96,6 +96,14 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
-def same_rows(ids: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values of one column, named ``column``."""
-    return ids.select(column).where(F.col(column).isNotNull()).distinct()
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay.
+
+    Up to MAX_BROADCAST_IDS ids are broadcast; more are joined by a shuffle.
+    """
+    gone = store(ids.toDF("__gone").where("__gone is not null").distinct(), "ids").read()
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import Stored, pack, store, unpack
+from heliotrace.llm.common import Stored, pack, store, unpack, without_ids
 
 SEGMENT_WORDS = 2_000_000
 BLOCK_WORDS = 1_000_000
@@ -201,6 +201,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return search(index.read(), blocks, id_col, docs.schema[id_col].dataType.simpleString())
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_items: int = 1) -> DataFrame:
+    """The rows of ``docs`` with windows of fewer than ``least_items`` items; rows with a null id stay."""
+    found = contamination(docs, items, id_col, text_col)
+    return without_ids(docs, found.where(F.size("items") >= least_items).select(id_col), id_col)
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     n_items = F.size("items").cast("long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import estimated_bytes, pack, shards_for, store, unpack
+from heliotrace.llm.common import estimated_bytes, pack, shards_for, store, unpack, without_ids
 
 WIDTH, PERCENT = 5, 75
 BLOCK_SHINGLES = 2_000_000
@@ -434,6 +434,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are their class's least id, with all their columns; rows with a null id stay."""
+    classes = jaccard_classes(docs, id_col, text_col)
+    return without_ids(docs, classes.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
