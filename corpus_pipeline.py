@@ -1,17 +1,61 @@
-"""A corpus pipeline of five of the training-data operators, in order."""
+"""A corpus pipeline of five of the training-data operators.
+
+Toxic documents go; one document of each near-duplicate class stays; documents that hold a
+window of any benchmark item go; personal data gets surrogates; what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heliotrace.llm import decontamination, jaccard_join, pii, sentencepiece_codec, toxicity
+from heliotrace.llm.common import store
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from the labels does not call toxic."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the least id."""
+    return jaccard_join.one_of_each_class(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs: one item is enough to go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the text where that changed."""
+    replaced = pii.replace_pii(docs.withColumn("__before", F.col("text")), pii.KEY)
+    changed = ~F.col("text").eqNullSafe(F.col("__before"))
+    return replaced.select(*(F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, round_trip) of all documents."""
+    import public_tokenizers
+
+    return sentencepiece_codec.encode(docs, "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"), verify=True)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("pii", replace_personal_data),
+    ("sentencepiece", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}").read()
     return docs
