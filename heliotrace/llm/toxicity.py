@@ -1,9 +1,12 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Training. Token counts of toxic and clean documents give log-odds with an informative Dirichlet
-prior: each token's pseudo-count is its share of all training tokens times ``PRIOR_SHARE`` of
-their number. A token scores its log-odds less ``DRIFT`` if they are significant (z of at least
-``LEAST_Z``), and -``DRIFT`` otherwise, so that text without evidence drifts down.
+Training. A word's features are itself and its first 4, 5 and 6 letters, so that an inflected
+form is known by its stem. Counts in toxic and clean documents give each feature's log-odds with
+an informative Dirichlet prior: its pseudo-count is its share of all training words times
+``PRIOR_SHARE`` of their number. Features that pass ``CANDIDATE_Z`` are counted again by distinct
+neighbouring words, which near copies of one document share, and must then pass ``LEAST_Z``.
+A word scores its best feature's log-odds less ``DRIFT``, and -``DRIFT`` without any, so that
+text without evidence drifts down.
 Scoring. A linear scan finds all maximal scoring segments of a document. For segment score S in
 a text of n tokens the expected number of equally good chance segments is E = K n exp(-lambda S);
 lambda solves sum p(w) exp(lambda s(w)) = 1 over clean tokens, and K is fitted to the best
@@ -32,11 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliotrace.llm.common import store
+
 MAX_TRAIN_DOCS = 20_000
 MAX_TOKENS = 50_000
 PRIOR_SHARE = 0.1
-LEAST_Z = 5.0
-LEAST_COUNT = 5
+CANDIDATE_Z = 2.5
+LEAST_Z = 3.2
+LEAST_COUNT = 4
+STEMS = (4, 5, 6)
+KEPT_WORDS = 500_000
 DRIFT = 0.1
 LEAST_E = 0.5
 _EULER = 0.5772156649015329
@@ -47,6 +55,27 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPACES).split()
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word and its stems, as bytes; a stem is marked so that it isn't a short word."""
+    letters = word.decode("utf-8", "replace")
+    return [word, *(letters[:n].encode() + b"*" for n in STEMS if len(letters) >= n)]
+
+
+class _Words(dict):
+    """Word -> score, filled as words are met, of bounded size."""
+
+    def __init__(self, scores: dict[bytes, float]):
+        self.scores = scores
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        get = self.scores.get
+        score = max(get(f, -DRIFT) for f in features(word))
+        self[word] = score
+        return score
+
+
 @dataclass
 class Model:
     scores: dict[bytes, float] = field(default_factory=dict)
@@ -55,12 +84,23 @@ class Model:
     slope: float = 0.0
     offset: float = -math.inf
 
+    def __post_init__(self):
+        self.words = _Words(self.scores)
+
+    def __getstate__(self):
+        return self.scores, self.lam, self.k, self.slope, self.offset
+
+    def __setstate__(self, state):
+        self.scores, self.lam, self.k, self.slope, self.offset = state
+        self.words = _Words(self.scores)
+
     def segments(self, words: list[bytes]) -> list[tuple[float, int, int]]:
         """All maximal scoring segments (score, first word, behind last word), left to right."""
-        if self.scores.keys().isdisjoint(words):
+        if not self.scores or not words:
+            return []
+        s = np.fromiter(map(self.words.__getitem__, words), np.float64, len(words))
+        if s.max() <= 0:
             return []
-        get = self.scores.get
-        s = np.array([get(w, -DRIFT) for w in words])
         total = np.concatenate(([0.0], np.cumsum(s)))
         stack: list[tuple[float, float, int, int]] = []  # cumulative score before and after, first, behind
         for i in np.flatnonzero(s > 0).tolist():
@@ -113,13 +153,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fold != 4:
                     seen[int(toxic > 0)].update(tokens(text))
-        words = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([seen[k][w] for w in part], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
-
-    counts = rows.mapInArrow(count, "word binary, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sums = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+        sums = {}
+        for kind, words in seen.items():
+            for word, n in words.items():
+                for f in features(word):
+                    sums.setdefault(f, [0, 0])[kind] += n
+        rows = list(sums.items())
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.binary()), *(pa.array([n[k] for _, n in part], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
+
+    counts = store(rows.mapInArrow(count, "word binary, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST_COUNT), "features")
+    sums = counts.read().where(~F.col("word").cast("string").endswith("*")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     n_t, n_c = int(sums.t or 0), int(sums.c or 0)
     if not n_t or not n_c:
         return Model()
@@ -127,8 +172,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR_SHARE)
     odds = F.log((F.col("toxic") + a) / (n_t + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (n_c + prior - F.col("clean") - a))
     z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    strong = counts.where(F.col("toxic") + F.col("clean") >= LEAST_COUNT).select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= LEAST_Z)
-    found = strong.orderBy(F.desc("z"), "word").limit(MAX_TOKENS).collect()
+    strong = lambda df, least: df.select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(MAX_TOKENS)
+    candidates = {bytes(r.word) for r in strong(counts.read(), CANDIDATE_Z).select("word").collect()}
+    counts.drop()
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(dict.fromkeys(candidates, 1.0))
+        for batch in batches:
+            found = set()
+            for fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = tokens(text) if fold != 4 else []
+                for i, w in enumerate(words):
+                    if known[w] > 0:
+                        around = b" ".join(words[max(0, i - 1) : i + 2])
+                        found.update((f, around, int(toxic > 0)) for f in features(w) if f in candidates)
+            out = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], names=["word", "around", "kind"])
+
+    distinct = rows.mapInArrow(contexts, "word binary, around binary, kind int").distinct().groupBy("word").agg(F.sum("kind").alias("toxic"), F.sum(1 - F.col("kind")).alias("clean"))
+    found = strong(distinct, LEAST_Z).collect()  # at most MAX_TOKENS
     model = Model({bytes(r.word): r.odds - DRIFT for r in found if r.odds > DRIFT})
     model.lam = _lambda([(r.odds - DRIFT, r.p) for r in found if r.odds > DRIFT])
 
@@ -165,7 +227,7 @@ def _lambda(steps: list[tuple[float, float]]) -> float:
 def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope (never negative) and offset of a lightly regularised logistic fit, by Newton steps."""
     if not points or len({y for _, y, _ in points}) < 2:
-        return 0.1, -2.0
+        return 0.5, -2.0
     x, y, n = (np.array(c, float) for c in zip(*points, strict=True))
     scale = max(1.0, float(np.abs(x).max()))
     b = np.zeros(2)
