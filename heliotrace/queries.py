@@ -216,3 +216,95 @@ k AS (SELECT *, newest < {T0 + 5 * DAY} AS old FROM f),
 b AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY newest, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER () AS total FROM k WHERE NOT old)
 SELECT 'logs' AS signal, id, 'age' AS reason FROM k WHERE old UNION ALL SELECT 'logs', id, 'budget' FROM b WHERE before < total - 200000""",
 )
+
+
+# sources and sinks -----------------------------------------------------------------------------
+
+
+def _otlp_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp, otlp_encode
+
+    requests = otlp_encode.export_logs(V.logs(spark, d), limit=200_000)
+    rows = otlp.accepted(otlp.decode_logs(requests.select("body")))
+    return rows.select("timestamp_nanos", F.element_at("stream", F.lit("app")).alias("app"), "severity", F.element_at("stream", F.lit("service_name")).alias("service_name"), "body", F.element_at("attributes", F.lit("user.id")).alias("user_id"))
+
+
+_add("otlp_roundtrip", _otlp_roundtrip, f"SELECT timestamp_nanos, app, level AS severity, service_name, {V.SQL_JSON_BODY} AS body, \"user\" AS user_id FROM ({V.SQL_LOGS}) ORDER BY timestamp_nanos LIMIT 200000")
+
+
+def _spans_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp, otlp_encode
+
+    requests = otlp_encode.export_spans(V.spans(spark, d), limit=200_000)
+    return otlp.accepted(otlp.decode_traces(requests.select("body"))).select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_nanos", "end_nanos", "status", F.element_at("stream", F.lit("app")).alias("app"))
+
+
+_add("spans_roundtrip", _spans_roundtrip, f"SELECT trace_id, span_id, parent_span_id, name, 'internal' AS kind, start_nanos, end_nanos, status, app FROM ({V.SQL_SPANS}) ORDER BY start_nanos, seq LIMIT 200000")
+
+
+def _metrics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp, otlp_encode
+
+    requests = otlp_encode.export_metrics(V.counter(spark, d).withColumn("kind", F.lit("counter")), limit=200_000)
+    return otlp.accepted(otlp.decode_metrics(requests.select("body"))).select("timestamp_nanos", *[F.element_at("labels", F.lit(n)).alias(n) for n in ("app", "event_type")], "value", "kind")
+
+
+_add("metrics_roundtrip", _metrics_roundtrip, f"SELECT timestamp_nanos, app, event_type, value, 'counter' AS kind FROM ({V.SQL_COUNTER}) ORDER BY timestamp_nanos LIMIT 200000")
+
+
+def _remote_write(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp, remote_write
+
+    rows = otlp.accepted(remote_write.decode(remote_write.encode(V.gauge(spark, d))))
+    return rows.select("timestamp_nanos", *[F.element_at("labels", F.lit(n)).alias(n) for n in ("app", "event_type")], "value", "kind")
+
+
+_add("remote_write_roundtrip", _remote_write, f"SELECT timestamp_nanos // 1000000 * 1000000 AS timestamp_nanos, app, event_type, value, 'gauge' AS kind FROM ({V.SQL_GAUGE})")
+
+
+def _export(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp_encode
+
+    return otlp_encode.export_logs(V.logs(spark, d), limit=7_000, per_line=2_000).select("batch", "records", "last_nanos")
+
+
+_add("export_batches", _export, f"SELECT (n - 1) // 2000 AS batch, count(*) AS records, max(timestamp_nanos) AS last_nanos FROM (SELECT timestamp_nanos, row_number() OVER (ORDER BY timestamp_nanos, seq) AS n FROM ({V.SQL_LOGS})) WHERE n <= 7000 GROUP BY 1")
+
+
+def _rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of events, some without usable ids, as requests of one span each; and what is not JSON."""
+    from heliotrace.sources import otlp
+
+    e = V._events(spark, d)
+    trace = F.when(F.col("user_id") % 7 == 0, F.lit("00000000")).otherwise(F.hex(F.col("seq") + 1))
+    span = F.when(F.col("user_id") % 5 == 0, F.lit("not hex")).otherwise(F.hex(F.col("seq") + 1))
+    body = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[]},"scopeSpans":[{"scope":{},"spans":[{"name":"n","traceId":"'), trace, F.lit('","spanId":"'), span, F.lit('","startTimeUnixNano":"'), F.col("timestamp_nanos").cast("string"), F.lit('"}]}]}]}'))
+    body = F.when(F.col("user_id") % 11 == 0, F.lit("{broken")).otherwise(body)
+    return otlp.rejected(otlp.decode_traces(e.select(body.alias("body"))))
+
+
+_add(
+    "rejects_by_reason", _rejects,
+    "SELECT reason, count(*) AS records FROM (SELECT CASE WHEN user_id % 11 = 0 THEN 'invalid_request' WHEN user_id % 7 = 0 THEN 'invalid_trace_id' WHEN user_id % 5 = 0 THEN 'invalid_span_id' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY 1",
+)
+
+
+def _otlp_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of values by app as one request each, expanded to buckets, sum and count."""
+    from heliotrace.sources import otlp
+
+    e = V._events(spark, d)
+    cut = lambda low, high: F.sum(F.when((F.col("value") > low) & (F.col("value") <= high), 1).otherwise(0)).cast("string")
+    h = e.groupBy("app").agg(cut(float("-inf"), 10.0).alias("b0"), cut(10.0, 50.5).alias("b1"), cut(50.5, float("inf")).alias("b2"), F.count("*").cast("string").alias("n"))
+    body = F.concat(F.lit('{"resourceMetrics":[{"resource":{"attributes":[{"key":"app","value":{"stringValue":"'), "app", F.lit(f'"}}}}]}},"scopeMetrics":[{{"scope":{{}},"metrics":[{{"name":"event.value","histogram":{{"dataPoints":[{{"timeUnixNano":"{T0}","count":"'), "n", F.lit('","sum":12.5,"bucketCounts":["'), "b0", F.lit('","'), "b1", F.lit('","'), "b2", F.lit('"],"explicitBounds":[10,50.5]}]}}]}]}]}'))
+    rows = otlp.accepted(otlp.decode_metrics(h.select(body.alias("body"))))
+    return rows.select(*[S.label(F.col("labels"), n).alias(n) for n in ("app", "le")], F.element_at("labels", F.lit("__name__")).alias("name"), "value", "kind")
+
+
+_add(
+    "otlp_histogram", _otlp_histogram,
+    f"""WITH h AS (SELECT app, count(*) FILTER (value <= 10) AS b0, count(*) FILTER (value <= 50.5) AS b1, count(*) AS n FROM ({V.SQL_LOGS}) GROUP BY app)
+SELECT app, le, 'event_value' || suffix AS name, v::DOUBLE AS value, 'histogram' AS kind FROM (
+  SELECT app, '10' AS le, '_bucket' AS suffix, b0 AS v FROM h UNION ALL SELECT app, '50.5', '_bucket', b1 FROM h UNION ALL SELECT app, '+Inf', '_bucket', n FROM h
+  UNION ALL SELECT app, '', '_sum', 12.5 FROM h UNION ALL SELECT app, '', '_count', n FROM h)""",
+)
