@@ -173,8 +173,8 @@ def search(index: DataFrame, blocks: list, id_col: str, id_kind: str) -> DataFra
                                 hit[(starts[:, None] + np.arange(numbers.shape[1])).ravel()] = True
                                 for doc in np.unique(segment.doc_of(starts)).tolist():
                                     found.setdefault(doc, set()).update(owners[k])
-                    if len(blocks) > 1:
-                        block.unpersist()
+                    if len(blocks) > 1 and hasattr(block, "_value"):
+                        del block._value  # one block at a time in memory; the worker keeps the file
                 ends = np.cumsum(lengths)
                 hits = np.concatenate(([0], np.cumsum(hit[:-1])))
                 items = pa.array([sorted(found.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))
