@@ -57,14 +57,25 @@ def _requests(df: DataFrame, schema: str, top: str) -> DataFrame:
     return own.select("received_nanos", (F.col("r").isNotNull() & F.col("r.__corrupt").isNull()).alias("request_ok"), F.col(f"r.{top}").alias("resources"))
 
 
-def _stream(limits: Limits, resource: Column, scope: Column, *, level: Column | None = None) -> Column:
-    """Labels of a stream: the promoted ones, scope over resource, an ``app`` that is never missing, and the level."""
-    found = S.merge(A.attributes(resource["attributes"], sanitised=True), A.attributes(scope["attributes"], sanitised=True))
-    scope_name = F.when(F.length(F.coalesce(scope["name"], F.lit(""))) > 0, F.create_map(F.lit("scope_name"), scope["name"])).otherwise(S.empty_map())
-    found = S.merge(found, scope_name)
-    app = F.coalesce(F.element_at(found, "app"), F.element_at(found, "service_name"), F.lit("unknown"))
-    out = S.merge(S.keep_labels(found, [*limits.stream_labels, "scope_name"]), F.create_map(F.lit("app"), app))
-    return S.merge(out, F.create_map(F.lit("level"), level)) if level is not None else out
+def _found_labels(rows: DataFrame, scope_name: bool) -> DataFrame:
+    """Adds ``found``, the labels of resource and scope (scope wins), and ``app``, which is never missing.
+
+    Each step is a projection of its own: joining maps names each of them twice, so one nested
+    expression would grow with every step.
+    """
+    rows = rows.withColumn("of_resource", A.attributes(F.col("resource.attributes"), sanitised=True)).withColumn("of_scope", A.attributes(F.col("scope.attributes"), sanitised=True))
+    rows = rows.withColumn("found", S.merge(F.col("of_resource"), F.col("of_scope")))
+    if scope_name:
+        own = F.when(F.length(F.coalesce("scope.name", F.lit(""))) > 0, F.create_map(F.lit("scope_name"), F.col("scope.name"))).otherwise(S.empty_map())
+        rows = rows.withColumn("of_scope", own).withColumn("found", S.merge(F.col("found"), F.col("of_scope")))
+    return rows.withColumn("app", F.coalesce(F.element_at("found", F.lit("app")), F.element_at("found", F.lit("service_name")), F.lit("unknown"))).drop("of_resource", "of_scope", "resource", "scope")
+
+
+def _with_stream(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Adds ``stream``: the promoted labels, the app, and the column ``level`` if there is one."""
+    rows = _found_labels(rows, True).withColumn("stream", S.keep_labels(F.col("found"), [*limits.stream_labels, "scope_name"]))
+    fixed = [F.lit("app"), F.col("app")] + ([F.lit("level"), F.col("level")] if "level" in rows.columns else [])
+    return rows.withColumn("stream", F.map_concat(S.drop_labels(F.col("stream"), ["app", "level"] if "level" in rows.columns else ["app"]), F.create_map(*fixed))).drop("found", "app")
 
 
 def _label_fault(limits: Limits, labels: Column, *, lengths: bool = True) -> Column:
@@ -96,12 +107,12 @@ def decode_logs(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeLogs").alias("sc"))
     rows = rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.logRecords").alias("rec"))
     rows = rows.withColumn("list_body", F.struct("rec.body.arrayValue", "rec.body.kvlistValue"))
+    rows = _with_stream(rows.withColumn("level", severity(A.enum(F.col("rec.severityNumber"), {}), F.col("rec.severityText"))), limits)
     time, observed = A.unsigned(F.col("rec.timeUnixNano")), A.unsigned(F.col("rec.observedTimeUnixNano"))
-    level = severity(A.enum(F.col("rec.severityNumber"), {}), F.col("rec.severityText"))
     body = F.coalesce(A.composites(F.col("list_body.arrayValue"), F.col("list_body.kvlistValue")), A.scalar_text(F.col("rec.body")), F.lit(""))
     rows = rows.select(
         F.coalesce(A.rescale(time), A.rescale(observed), F.col("received_nanos")).alias("timestamp_nanos"), F.monotonically_increasing_id().alias("seq"),
-        _stream(limits, F.col("resource"), F.col("scope"), level=level).alias("stream"), level.alias("severity"), F.col("rec.severityText").alias("severity_text"), body.alias("body"),
+        "stream", F.col("level").alias("severity"), F.col("rec.severityText").alias("severity_text"), body.alias("body"),
         A.attributes(F.col("rec.attributes")).alias("attributes"), A.normalise_id(F.col("rec.traceId")).alias("trace_id"), A.normalise_id(F.col("rec.spanId")).alias("span_id"),
         F.coalesce(A.rescale(time) != time, F.lit(False)).alias("rescaled"),
     )
@@ -121,7 +132,7 @@ def _with_bad_requests(requests: DataFrame, rows: DataFrame) -> DataFrame:
 def decode_traces(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = _requests(requests, TRACES, "resourceSpans")
     rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeSpans").alias("sc"))
-    rows = rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.spans").alias("s"))
+    rows = _with_stream(rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.spans").alias("s")), limits)
     start = F.coalesce(A.rescale(A.unsigned(F.col("s.startTimeUnixNano"))), F.col("received_nanos"))
     kind = F.get(F.array(*map(F.lit, ("unspecified", "internal", "server", "client", "producer", "consumer"))), F.coalesce(A.enum(F.col("s.kind"), SPAN_KINDS), F.lit(0)))
     status = F.get(F.array(*map(F.lit, ("unset", "ok", "error"))), F.coalesce(A.enum(F.col("s.status.code"), STATUS_CODES), F.lit(0)))
@@ -130,7 +141,7 @@ def decode_traces(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
         A.normalise_id(F.col("s.traceId")).alias("trace_id"), A.normalise_id(F.col("s.spanId")).alias("span_id"), A.normalise_id(F.col("s.parentSpanId")).alias("parent_span_id"),
         F.coalesce("s.name", F.lit("")).alias("name"), F.coalesce(kind, F.lit("unspecified")).alias("kind"), start.alias("start_nanos"),
         F.coalesce(A.rescale(A.unsigned(F.col("s.endTimeUnixNano"))), start).alias("end_nanos"), F.coalesce(status, F.lit("unset")).alias("status"), F.col("s.status.message").alias("status_message"),
-        F.monotonically_increasing_id().alias("seq"), _stream(limits, F.col("resource"), F.col("scope")).alias("stream"), A.attributes(F.col("s.attributes")).alias("attributes"), events.alias("events"),
+        F.monotonically_increasing_id().alias("seq"), "stream", A.attributes(F.col("s.attributes")).alias("attributes"), events.alias("events"),
     )
     reason = F.coalesce(F.when(F.col("trace_id").isNull(), "invalid_trace_id"), F.when(F.col("span_id").isNull(), "invalid_span_id"), F.when(F.size("attributes") > limits.attributes, "too_many_attributes"), _label_fault(limits, F.col("stream"), lengths=False))
     return _with_bad_requests(df, rows.withColumn("reject_reason", reason))
@@ -157,9 +168,8 @@ def decode_metrics(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = _requests(requests, METRICS, "resourceMetrics")
     rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeMetrics").alias("sc"))
     rows = rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.metrics").alias("m"))
-    base = S.merge(A.attributes(F.col("resource.attributes"), sanitised=True), A.attributes(F.col("scope.attributes"), sanitised=True))
-    app = F.coalesce(F.element_at(base, "app"), F.element_at(base, "service_name"), F.lit("unknown"))
-    rows = rows.select("received_nanos", S.merge(base, F.create_map(F.lit("app"), app)).alias("base"), metric_name(F.col("m.name")).alias("name"), "m")
+    rows = _found_labels(rows, False).withColumn("base", F.map_concat(S.drop_labels(F.col("found"), ["app"]), F.create_map(F.lit("app"), F.col("app"))))
+    rows = rows.select("received_nanos", "base", metric_name(F.col("m.name")).alias("name"), "m")
     value = lambda p: F.coalesce(p["asDouble"].try_cast("double"), A.signed(p["asInt"]).cast("double"), F.lit(0.0))
     point = "struct<t:string,a:" + A.ATTRIBUTES + ",suffix:string,le:string,value:double,kind:string>"
     empty = F.array().cast(f"array<{point}>")
@@ -175,9 +185,11 @@ def decode_metrics(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = rows.withColumn("points", points).select("received_nanos", "base", "name", other.alias("other"), F.explode_outer("points").alias("p")).where("p is not null or other")
     extra = F.when(F.col("p.le").isNotNull(), F.create_map(F.lit("le"), F.col("p.le"))).otherwise(S.empty_map())
     named = F.create_map(F.lit("__name__"), F.concat("name", F.coalesce("p.suffix", F.lit(""))))
+    rows = rows.withColumn("own", A.attributes(F.col("p.a"), sanitised=True)).withColumn("own", S.merge(F.col("base"), F.col("own")))
+    rows = rows.withColumn("fixed", F.map_concat(extra, named))
     rows = rows.select(
         F.coalesce(A.rescale(A.unsigned(F.col("p.t"))), F.col("received_nanos")).alias("timestamp_nanos"), F.monotonically_increasing_id().alias("seq"),
-        S.merge(F.col("base"), A.attributes(F.col("p.a"), sanitised=True), extra, named).alias("labels"), F.col("p.value").alias("value"), F.coalesce("p.kind", F.lit("unknown")).alias("kind"), "other", "name",
+        S.merge(F.col("own"), F.col("fixed")).alias("labels"), F.col("p.value").alias("value"), F.coalesce("p.kind", F.lit("unknown")).alias("kind"), "other", "name",
     )
     reason = F.coalesce(F.when(F.col("other"), "unsupported_metric_type"), F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, "missing_metric_name"), _label_fault(limits, F.col("labels")))
     return _with_bad_requests(df, rows.withColumn("reject_reason", reason).drop("other", "name"))
