@@ -8,11 +8,13 @@ A block is bounded by its number of tokens, not by its number of documents.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import struct
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,9 +81,10 @@ def shards_for(n_bytes: int, each: int, least: int = 12) -> int:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of any numeric kinds as one compressed payload."""
+    """Arrays of any numeric kinds as one compressed payload; the bytes of equal rank stand together, which compresses better."""
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<3sq", a.dtype.str[:3].encode(), a.size) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if a.size else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
@@ -91,11 +94,71 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     for i in range(n):
         kind, size = struct.unpack_from("<3sq", raw, 4 + 11 * i)
         kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * kind.itemsize
+        own = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        out.append(np.ascontiguousarray(own.reshape(kind.itemsize, -1).T).view(kind).ravel() if size else np.array([], kind))
+        at += own.size
     return out
 
 
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back: workers live on between tasks and share their machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
+_POWERS: list[np.ndarray] = []
+
+
+def _byte_table() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number for each byte, the same for A-Z and a-z, and 0 for ASCII white space; and whether it is white space."""
+    space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    with np.errstate(over="ignore"):
+        x = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    x[65:91] = x[97:123]
+    x[space] = 0
+    return x, space
+
+
+_NUMBERS, _SPACE = _byte_table()
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or _POWERS[0].size < n:
+        size = max(1 << 20, 1 << n.bit_length())
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and each text's number of words.
+
+    Words are parted by ASCII white space and A-Z counts as a-z. A word's hash is a polynomial in
+    its bytes, taken from running sums of all bytes at once, then mixed with its length.
+    """
+    raw = [(t or "").encode() + b" " for t in texts]
+    data = np.frombuffer(b" " + b"".join(raw), np.uint8)
+    power, inverse = _powers(data.size)
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(_NUMBERS[data] * power[: data.size])
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edge[0::2], edge[1::2]  # the white space before each word, and its last byte
+        x = (sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    ends = np.cumsum([len(r) for r in raw])
+    counts = np.diff(np.searchsorted(first, ends, side="left"), prepend=0)
+    return x, counts
+
+
 MAX_BROADCAST_IDS = 1_000_000
 
 

@@ -4,16 +4,19 @@ A document's set has the 64-bit hashes of its distinct 5-word shingles (of the w
 shorter). Two documents link if 100 * |intersection| >= 75 * |union|. Tokens are ordered rare
 before frequent, then by hash. Linked sets of size s share a token among the first
 s - ceil(0.75 s) + 1 of each (the prefix). If a shared one is rare, single rare tokens of the
-prefix find the pair. If not, all tokens they share are frequent, and the prefix extended by b
+prefix find the pair (rare tokens come by the logarithm of their documents' number, then by hash). If not, all tokens they share are frequent, and the prefix extended by b
 tokens shares b + 1; dealt into b classes by hash, some class holds two of them, so pairs of
 frequent tokens within a class find the pair. b grows with s, which keeps the number of pairs in
-proportion to s. Both indexes are exact. Frequent tokens are those in at least T documents; T is
-the least power of two (32 at least) that leaves ``MAX_FREQUENT`` of them, so their list is bounded.
+proportion to s. Both indexes are exact. Numbers of documents are counted for all tokens; those of
+the ``MAX_KNOWN`` or fewer most frequent ones, down to a power of two, are sent to the tasks, so
+this list is bounded; tokens below count as equally rare. Frequent are tokens in 32 documents or more.
 
 Buckets of sets with a common key are not expanded into pairs. Each is verified first as stars
-around its smallest members; only members that verified links have not joined are then paired
-across their components, pair by pair, and verified too. Verification compares whole sets; each
-set is sent once to each task that needs it. Keys whose frequent tokens would gather more than
+around its smallest members. Stars hold each bucket's comparable members together, so members
+that may link but have not been compared lie in components joined by edges of stars that did not
+verify. Such components form a cluster, and each cluster is joined exactly inside a task, by counting common tokens along the lists of its tokens. A cluster of more than
+``CLUSTER_BLOCK`` sets is dealt in blocks, and each pair of blocks is one unit of work. A unit
+returns a spanning forest of its links. Whole sets are compared; a set is sent once to each unit. Keys whose frequent tokens would gather more than
 ``SPLIT`` sets are split by set, and their parts meet by their centers.
 
 Defined results: a null or empty text has the empty set, size 0, and is its own component; rows
@@ -31,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import estimated_bytes, pack, shards_for, store, unpack, without_ids
+from heliotrace.llm.common import estimated_bytes, pack, shards_for, store, unpack, without_ids, word_hashes
 
 WIDTH, PERCENT = 5, 75
-BLOCK_SHINGLES = 2_000_000
-MAX_FREQUENT = 2_000_000
-LEAST_FREQUENT = 32
+BLOCK_SHINGLES = 1_000_000
+MAX_KNOWN = 4_000_000
+COMBINE = 5  # logarithm of the documents from which tokens are combined
 SPLIT = 4_096
+CLUSTER_BLOCK = 2_048
 STAR = 256  # members verified beside one copy of their center
-KEPT_WORDS = 1_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -54,41 +57,28 @@ class Shingler:
     """Texts to sorted arrays of distinct shingle hashes. Words are cut at ASCII white space; A-Z is lower-cased."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.number, self.hashes = width, {}, []
+        self.width = width
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        import xxhash
-
-        number, hashes, digest, w = self.number, self.hashes, xxhash.xxh3_64_intdigest, self.width
-        if len(number) > KEPT_WORDS:
-            number.clear()
-            hashes.clear()
-        parts, sizes = [], []
-        for text in texts:
-            own = text.encode().lower().split() if text else []
-            for word in set(own).difference(number):
-                number[word] = len(hashes)
-                hashes.append(digest(word))
-            parts.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-            sizes.append(len(own))
-        table = np.array(hashes, np.uint64)
-        flat = table[np.concatenate(parts)] if parts else table[:0]
+        w = self.width
+        flat, sizes = word_hashes(texts)
         n = flat.size
         with np.errstate(over="ignore"):
             rolled = np.zeros(max(0, n - w + 1), np.uint64)
-            for j in range(w):
-                rolled = _mix(rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j : n - w + 1 + j] + np.uint64(j + 1)) if rolled.size else rolled
+            for j in range(w if rolled.size else 0):
+                rolled = _mix(rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j : n - w + 1 + j] + np.uint64(j + 1))
             out, at = [], 0
-            for size in sizes:
+            for size in sizes.tolist():
                 if size >= w:
-                    out.append(np.unique(rolled[at : at + size - w + 1]))
+                    own = np.sort(rolled[at : at + size - w + 1])
+                    out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
                 elif size:
                     one = np.full(1, size, np.uint64)
                     for j in range(size):
                         one = _mix(one * np.uint64(0xC2B2AE3D27D4EB4F) + flat[at + j])
                     out.append(one)
                 else:
-                    out.append(np.array([], np.uint64))
+                    out.append(rolled[:0])
                 at += size
         return out
 
@@ -151,7 +141,7 @@ def _first_pass(docs: DataFrame, n_shards: int, width: int) -> DataFrame:
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 40-bit tokens in at least T documents, and the binary logarithm of each one's count."""
+    """Sorted 40-bit tokens in two documents at least, as many as are allowed, and the binary logarithm of each one's count."""
 
     def count(table: pa.Table) -> pa.Table:
         tokens, counts = [], []
@@ -166,7 +156,7 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         tokens, counts = tokens[order], counts[order]
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         sums = np.add.reduceat(counts, first)
-        keep = sums >= LEAST_FREQUENT
+        keep = sums >= 2
         tokens, level = tokens[first][keep], np.log2(sums[keep]).astype(np.int64)
         levels = np.unique(level)
         return pa.table({"level": pa.array(levels, pa.int32()), "n": pa.array([int((level == k).sum()) for k in levels], pa.int64()), "payload": pa.array([pack(tokens[level == k]) for k in levels], pa.binary())})
@@ -176,7 +166,7 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     kept, total = [], 0
     for level in sorted(by_level, reverse=True):
         total += by_level[level]
-        if total > MAX_FREQUENT:
+        if total > MAX_KNOWN:
             break
         kept.append(level)
     tokens, levels = [np.array([], np.uint64)], [np.array([], np.uint8)]
@@ -194,11 +184,13 @@ def prefix_keys(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Keys of a sorted set and, for each, the logarithm of the documents it may gather. ``level`` is 0 for rare tokens."""
     n = s.size
     prefix = n - -(-PERCENT * n // 100) + 1
-    rare = s[level == 0]
+    rare = s[level < COMBINE]
+    if rare.size and level.any():
+        rare = rare[np.argsort(level[level < COMBINE], kind="stable")]
     singles = rare[:prefix]
     if singles.size == prefix or n < 2:
         return singles, np.zeros(singles.size, np.uint8)
-    frequent, own_level = s[level > 0], level[level > 0]
+    frequent, own_level = s[level >= COMBINE], level[level >= COMBINE]
     keys, levels = [singles], [np.zeros(singles.size, np.uint8)]
     for classes in sorted({_classes(n), _classes(n * 100 // PERCENT)}):
         m = min(frequent.size, prefix + classes - rare.size) if rare.size < prefix + classes else 0
@@ -278,7 +270,7 @@ def _stars(ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
-    """Rows with candidate pairs (a, b), and rows with the members of buckets whose stars may not tell all."""
+    """(a, b, open, parent, center): pairs of stars, open if their buckets have more members; and the centers of split buckets' parts."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, sizes, part = [], [], [], []
@@ -297,43 +289,35 @@ def _buckets(postings: DataFrame) -> DataFrame:
         keys, ids, sizes, part = keys[fresh], ids[fresh], sizes[fresh], part[fresh]
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(first[1:], keys.size)
-        pairs: set[tuple[int, int]] = set()
+        pairs: dict[tuple[int, int], bool] = {}
         seen: set[bytes] = set()
-        members, parents = [], []
+        parents, centers = [], []
         for i, j in zip(first.tolist(), ends.tolist(), strict=True):
             whole = part[i] < 0
-            if j - i < 2 and whole:
+            if not whole:
+                parents.append(int(keys[i].view(np.int64)))
+                centers.append(int(ids[i]))
+            own = ids[i:j]
+            if j - i < 2 or own.tobytes() in seen:
                 continue
-            own, size = ids[i:j], sizes[i:j]
-            mark = own.tobytes() + (b"" if whole else keys[i : i + 1].tobytes())
-            if mark in seen:
-                continue
-            seen.add(mark)
-            pairs.update((int(own[x]), int(own[y])) for x, y in _stars(own, size))
-            if j - i > 2 or not whole:
-                members.append(own.tolist())
-                parents.append(None if whole else int(keys[i].view(np.int64)))
-        both = list(pairs)
-        n = len(members)
+            seen.add(own.tobytes())
+            more = j - i > 2 or not whole
+            for x, y in _stars(own, sizes[i:j]):
+                pair = int(own[x]), int(own[y])
+                pairs[pair] = more or pairs.get(pair, False)
         return pa.table({
-            "a": pa.array([[x for x, _ in both]] + [None] * n, pa.list_(pa.int64())), "b": pa.array([[y for _, y in both]] + [None] * n, pa.list_(pa.int64())),
-            "parent": pa.array([None, *parents], pa.int64()), "members": pa.array([None, *members], pa.list_(pa.int64())),
+            "a": pa.array([[x for x, _ in pairs]], pa.list_(pa.int64())), "b": pa.array([[y for _, y in pairs]], pa.list_(pa.int64())), "open": pa.array([list(pairs.values())], pa.list_(pa.bool_())),
+            "parent": pa.array([parents], pa.list_(pa.int64())), "center": pa.array([centers], pa.list_(pa.int64())),
         })
 
-    return postings.groupBy("shard").applyInArrow(run, "a array<bigint>, b array<bigint>, parent bigint, members array<bigint>")
+    return postings.groupBy("shard").applyInArrow(run, "a array<bigint>, b array<bigint>, open array<boolean>, parent array<bigint>, center array<bigint>")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Of pairs (x, y, x_set, y_set, x_n, y_n) of ids with their sets' hashes and sizes, those (x, y) that link."""
-    totals = pairs.agg(F.count("*").alias("n"), F.sum(F.col("x_n") + F.col("y_n")).alias("s")).first()
-    if not totals.n:
-        return pairs.select("x", "y")
-    groups = shards_for(int(totals.s) * 8, SHARD_BYTES // 2)
-    star = pairs.groupBy("x").agg(F.count("*").alias("star"))
-    dealt = store(pairs.join(star, "x").withColumn("g", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("star") / STAR))), F.lit(groups)).cast("int")), "pairs")
-    need = dealt.read().select(F.col("x").alias("id"), F.col("x_set").alias("set"), "g").unionByName(dealt.read().select(F.col("y").alias("id"), F.col("y_set").alias("set"), "g"))
-    need = store(need.groupBy("id").agg(F.collect_set("g").alias("gs"), F.collect_set("set").alias("sets")), "needed").read()
-    texts = docs.join(F.broadcast(need) if need.count() <= MAX_BROADCAST_ROWS else need, docs["doc_id"] == need["id"]).select("doc_id", "text", "gs", "sets")
+def _sets_at(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """(g, unit, id, set, tokens): the token sets of the ids in ``need`` (id, set's hash, place) at each of their places."""
+    need = store(need.groupBy("id").agg(F.collect_set("place").alias("places"), F.collect_set("set").alias("sets")), "needed").read()
+    texts = docs.join(F.broadcast(need) if need.count() <= MAX_BROADCAST_ROWS else need, docs["doc_id"] == need["id"])
+    texts = texts.select("doc_id", "text", F.col("places.g").alias("gs"), F.col("places.unit").alias("units"), "sets")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -341,15 +325,88 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 sets = shingler(part.column(1).to_pylist())
-                marks, _ = _set_ids(sets)
-                g, ids, own, raw = [], [], [], []
-                for i, gs, wanted, s, mark in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets, marks.tolist(), strict=True):
+                marks, _ = _set_ids(sets) if sets else ([], [])
+                g, units, ids, own, raw = [], [], [], [], []
+                for i, gs, us, wanted, s, mark in zip(*(part.column(c).to_pylist() for c in (0, 2, 3, 4)), sets, marks.tolist(), strict=True):
                     if mark in wanted:
                         g += gs
+                        units += us
                         ids += [i] * len(gs)
                         own += [mark] * len(gs)
                         raw += [s.tobytes()] * len(gs)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(raw, pa.binary())], names=["g", "id", "set", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *(pa.array(x, pa.int64()) for x in (units, ids, own)), pa.array(raw, pa.binary())], names=["g", "unit", "id", "set", "tokens"])
+
+    return texts.mapInArrow(send, "g int, unit bigint, id bigint, set bigint, tokens binary")
+
+
+def link_sets(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of all links among some sets: for each set the common tokens with every other are counted at once."""
+    m = len(sets)
+    sizes = np.array([s.size for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    _, code, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    by_token = owner[np.argsort(code, kind="stable")]  # owners of each token, in order
+    last = np.cumsum(times)
+    root = list(range(m))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(m):
+        own = code[ends[i] - sizes[i] : ends[i]]
+        own = own[times[own] > 1]
+        shared = np.zeros(m, np.int64)
+        for t in own.tolist():
+            shared[by_token[last[t] - times[t] : last[t]]] += 1
+        for j in np.flatnonzero(100 * shared >= PERCENT * (sizes + sizes[i] - shared)).tolist():
+            if j > i and find(i) != find(j):
+                root[find(j)] = find(i)
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _cluster_links(docs: DataFrame, labels: DataFrame, unsettled: DataFrame, width: int) -> DataFrame:
+    """Links (x, y) among all sets of components joined by ``unsettled`` (x, y) pairs of labels, as a spanning forest of each unit.
+
+    ``labels`` has rep, a (the set's hash), n and label for every set.
+    """
+    clusters = components(unsettled)
+    both = clusters.union(clusters.select("root", "root")).distinct()
+    own = labels.join(both, F.col("label") == F.col("node")).select("rep", "a", "n", "root")
+    blocks = own.groupBy("root").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
+    own = store(own.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "clusters").read()
+    total = own.agg(F.sum(F.col("n") * F.col("blocks")).alias("s")).first().s or 0
+    groups = shards_for(int(total) * 8, SHARD_BYTES // 2)
+    unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("block", j), F.greatest("block", j)))
+    need = own.select(F.col("rep").alias("id"), F.col("a").alias("set"), F.explode(unit).alias("unit")).select("id", "set", F.struct(F.pmod("unit", F.lit(groups)).cast("int").alias("g"), "unit").alias("place"))
+
+    def link(table: pa.Table) -> pa.Table:
+        units: dict[int, list[int]] = {}
+        for row, u in enumerate(table.column("unit").to_pylist()):
+            units.setdefault(u, []).append(row)
+        ids, tokens, out = table.column("id").to_pylist(), table.column("tokens"), []
+        for rows in units.values():
+            out += link_sets([ids[r] for r in rows], [np.frombuffer(tokens[r].as_py(), np.uint64) for r in rows])
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return _sets_at(docs, need, width).groupBy("g").applyInArrow(link, "x bigint, y bigint")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Of pairs (x, y, x_set, y_set, x_n, y_n) of ids with their sets' hashes and sizes, those (x, y) that link."""
+    totals = pairs.agg(F.count("*").alias("n"), F.sum(F.col("x_n") + F.col("y_n")).alias("s")).first()
+    if not totals.n:
+        return pairs.select("x", "y")
+    groups = shards_for(int(totals.s) * 8, SHARD_BYTES // 2)
+    star = pairs.groupBy("x").agg(F.count("*").alias("star"))
+    dealt = store(pairs.join(star, "x").withColumn("g", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("star") / STAR))), F.lit(groups)).cast("int")), "pairs")
+    side = lambda p: dealt.read().select(F.col(p).alias("id"), F.col(f"{p}_set").alias("set"), F.struct("g", F.lit(0).cast("long").alias("unit")).alias("place"))
+    need = side("x").unionByName(side("y"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {k: np.frombuffer(t, np.uint64) for k, t in zip(left.column("set").to_pylist(), left.column("tokens").to_pylist(), strict=True)}
@@ -365,8 +422,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                 ys.append(y)
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-    sent = texts.mapInArrow(send, "g int, id bigint, set bigint, tokens binary")
-    return sent.groupBy("g").cogroup(dealt.read().select("g", "x", "y", "x_set", "y_set").groupBy("g")).applyInArrow(compare, "x bigint, y bigint")
+    return _sets_at(docs, need, width).groupBy("g").cogroup(dealt.read().select("g", "x", "y", "x_set", "y_set").groupBy("g")).applyInArrow(compare, "x bigint, y bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -403,32 +459,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = store(members.read().where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "sets")
     found = store(_buckets(_postings(docs, n_shards, frequent, width)), "buckets")
     side = lambda p: sets.read().select(F.col("a").alias(f"{p}_set"), F.col("rep").alias(p), F.col("n").alias(f"{p}_n"))
-    comparable = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) and x <> y"
+    comparable = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
     # The parts of split keys meet by their first members.
-    centers = found.read().where("parent is not null").groupBy("parent").agg(F.collect_set(F.col("members")[0]).alias("c"))
-    centers = centers.select(F.explode(F.slice("c", 2, 1 << 30)).alias("y_set"), F.col("c")[0].alias("x_set"))
-    stars = found.read().where("a is not null").select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.a").alias("x_set"), F.col("z.b").alias("y_set"))
-    tried = store(stars.unionByName(centers).distinct().join(side("x"), "x_set").join(side("y"), "y_set").where(comparable), "tried")
-    links = store(_verify(docs, tried.read(), width), "links")
+    centers = found.read().select(F.explode(F.arrays_zip("parent", "center")).alias("z")).groupBy("z.parent").agg(F.array_sort(F.collect_set("z.center")).alias("c"))
+    centers = centers.select(F.explode(F.slice("c", 2, 1 << 30)).alias("y_set"), F.col("c")[0].alias("x_set"), F.lit(True).alias("open"))
+    stars = found.read().select(F.explode(F.arrays_zip("a", "b", "open")).alias("z")).select(F.col("z.a").alias("x_set"), F.col("z.b").alias("y_set"), F.col("z.open").alias("open"))
+    pairs = stars.unionByName(centers).groupBy("x_set", "y_set").agg(F.max("open").alias("open"))
+    tried = store(pairs.join(side("x"), "x_set").join(side("y"), "y_set").where("x <> y"), "tried")
+    found.drop()
+    links = store(_verify(docs, tried.read().where(comparable).drop("open"), width), "links")
     joined = components(links.read())
 
-    # What stars have not settled: members of one bucket in different components, not yet compared.
-    label = F.coalesce("root", "rep").alias("label")
-    inside = found.read().where("members is not null").select(F.coalesce("parent", F.xxhash64("members")).alias("bucket"), "members").dropDuplicates(["bucket", "members"])
-    inside = inside.select("bucket", F.explode("members").alias("a")).join(sets.read(), "a").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "a", "n", label)
-    inside = store(inside, "inside").read()
-    # ... unless one component holds the whole bucket
-    mixed = inside.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = store(inside.join(mixed, "bucket", "left_semi").distinct(), "open").read()
-    half = lambda p: open_.select("bucket", F.col("rep").alias(p), F.col("a").alias(f"{p}_set"), F.col("n").alias(f"{p}_n"), F.col("label").alias(f"{p}_label"))
-    rest = half("x").join(half("y"), "bucket").where("x_label <> y_label and x < y").where(comparable).select("x", "y", "x_set", "y_set", "x_n", "y_n").distinct()
-    before = tried.read().select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = store(rest.join(before, ["x", "y"], "left_anti"), "rest")
-    late = store(_verify(docs, rest.read(), width), "late")
-    if late.read().limit(1).count():
+    # Pairs of open buckets whose ends are in different components: those components meet in clusters.
+    labels = store(sets.read().select("rep", "a", "n").join(joined, F.col("rep") == F.col("node"), "left").select("rep", "a", "n", F.coalesce("root", "rep").alias("label")), "labels").read()
+    end = lambda p: labels.select(F.col("rep").alias(p), F.col("label").alias(f"{p}_label"))
+    unsettled = tried.read().where("open").select("x", "y").join(end("x"), "x").join(end("y"), "y").where("x_label <> y_label").select(F.col("x_label").alias("x"), F.col("y_label").alias("y"))
+    unsettled = store(unsettled.distinct(), "unsettled")
+    if unsettled.read().limit(1).count():
+        late = store(_cluster_links(docs, labels, unsettled.read(), width), "late")
         joined = components(links.read().unionByName(late.read()))
-    for t in (found, tried, rest):
-        t.drop()
+    tried.drop()
 
     out = members.read().join(sets.read().select("a", "b", "rep"), ["a", "b"], "left").join(joined, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))

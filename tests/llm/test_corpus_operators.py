@@ -239,6 +239,7 @@ def test_jaccard_classes(spark, monkeypatch, seed):
         monkeypatch.setattr(jaccard_join, "COMBINE", 1)
         monkeypatch.setattr(jaccard_join, "SPLIT", 4)
         monkeypatch.setattr(jaccard_join, "STAR", 3)
+        monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 7)
         monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 500)
     rng = random.Random(seed)
     own = corpus(rng) + ["", None, "  ", "A b", "a B", "one two three four", "x " * 4_000]
