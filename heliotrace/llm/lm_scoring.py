@@ -7,7 +7,7 @@ distributions over the V training words and one class of unknown words. A text's
 of log10 P over its words and its end; before the first word stands a start mark.
 
 Each shard of the model is a trie: its contexts, their quantised back-off weights, and their
-successors in one monotone Elias-Fano sequence (context's rank, then the successor's 40-bit code
+successors in one monotone Elias-Fano sequence (context's rank, then the successor's 32-bit code
 relative to that context) with monotone pointers per context and 8-bit codes of the quantised
 log probabilities. A shard is written to a file, mapped into memory, queried by successor search
 inside the context's range, and removed. Contexts of more than ``SPLIT`` tokens lie in several
@@ -17,7 +17,8 @@ Three exchanges of compressed blocks do the work, none of them with a row per to
 per block are summed per shard of words and return to the blocks; each block's distinct bigrams,
 with their documents, go to the shards of the trie; sums per document return.
 
-Words are known by 64-bit hashes. Defined results: a null text counts as empty: one token, its
+Words are known by 64-bit hashes and successors by 32 bits within their context, so two successors
+of a context of k are taken for one about once in 2^33 / k^2 contexts. Defined results: a null text counts as empty: one token, its
 end; rows with a null id are scored but not learned from (held_out is null); repeated rows count
 and are scored each; without training tokens every word is unknown; an empty table gives an empty
 table; columns other than the id and the text are not read, so names cannot clash.
@@ -34,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import estimated_bytes, pack, shards_for, store, unpack
+from heliotrace.llm.common import estimated_bytes, pack, release_memory, shards_for, store, unpack, word_hashes
 
-BLOCK_TOKENS = 2_000_000
-SHARD_BYTES = 8 << 20
+BLOCK_TOKENS = 750_000
+SHARD_BYTES = 2 << 20
 SPLIT = 1_000_000
-CODE_BITS = 40
+CODE_BITS = 32
 END, START = np.uint64(0x9D8B7C6A5F4E3D21), np.uint64(0x123456789ABCDEF1)  # marks; words have hashes of their bytes
 
 
@@ -181,45 +182,40 @@ def _blocks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
         partition, made = TaskContext.get().partitionId(), 0
-        number: dict[bytes, int] = {}
         parts, lengths, ids, held, total = [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            digest = xxhash.xxh3_64_intdigest
-            hashes = np.array([digest(w) for w in number] + [int(END)], np.uint64)
-            tokens = np.concatenate(parts)
-            tokens[tokens < 0] = hashes.size - 1
-            learn = np.repeat(np.array([h is False for h in held]), lengths)
+            hashes, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            sizes, end = np.concatenate(lengths), int(np.searchsorted(hashes, END))
+            learn = np.repeat(np.array([h is False for h in held]), sizes)
             counts = np.bincount(tokens[learn], minlength=hashes.size)
             # successors and counts of this block's contexts, for the fit of m(v)
-            inner = learn[:-1] & (tokens[:-1] != hashes.size - 1)
-            pairs = np.unique((tokens[:-1][inner].astype(np.int64) << 32) | tokens[1:][inner])
+            inner = learn[:-1] & (tokens[:-1] != end)
+            pairs = np.unique((tokens[:-1][inner] << 32) | tokens[1:][inner])
             followers = np.bincount(pairs >> 32, minlength=hashes.size)
             use = followers > 0
             x, y = np.log(counts[use]), np.log(followers[use])
             fit = np.array([x.size, x.sum(), y.sum(), (x * x).sum(), (x * y).sum()])
-            payload = pack(hashes, _small(counts), _small(tokens), np.array(lengths, np.int64), fit)
+            payload = pack(np.diff(hashes, prepend=np.uint64(0)), _small(counts), _small(tokens), sizes, fit)
             return pa.RecordBatch.from_arrays([pa.array([(partition << 32) | made], pa.int64()), pa.array([ids], pa.list_(batch.column(0).type)), pa.array([held], pa.list_(pa.bool_())), pa.array([payload], pa.binary())], names=names)
 
         for batch in batches:
-            texts = batch.column(1)
-            ids_, held_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for k in range(batch.num_rows):
-                own = (texts[k].as_py() or "").encode().lower().split()
-                tokens = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own))
-                parts.append(np.append(tokens, np.int32(-1)))
-                lengths.append(len(own) + 1)
-                ids.append(ids_[k])
-                held.append(held_[k])
-                total += len(own) + 1
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                flat, counts = word_hashes(piece.column(1).to_pylist())
+                parts.append(np.insert(flat, np.cumsum(counts), END))
+                lengths.append(counts + 1)
+                ids += piece.column(0).to_pylist()
+                held += piece.column(2).to_pylist()
+                total += flat.size + counts.size
                 if total >= BLOCK_TOKENS:
                     yield close()
                     made += 1
-                    number, parts, lengths, ids, held, total = {}, [], [], [], [], 0
+                    parts, lengths, ids, held, total = [], [], [], [], 0
+                    release_memory()
         if ids:
             yield close()
 
@@ -232,27 +228,26 @@ def _word_counts(blocks: DataFrame, n_shards: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, counts, _, _, fit = unpack(payload)
-                shards = (_mix(hashes) % np.uint64(n_shards)).astype(np.int64)
-                order = np.argsort(shards, kind="stable")
-                ends = np.searchsorted(shards[order], np.arange(n_shards + 1))
-                rows = [(k, pack(hashes[order[ends[k] : ends[k + 1]]], counts[order[ends[k] : ends[k + 1]]], order[ends[k] : ends[k + 1]].astype(np.int32), fit if k == block % n_shards else fit[:0])) for k in range(n_shards)]
+                deltas, counts, _, _, fit = unpack(payload)
+                hashes = np.cumsum(deltas, dtype=np.uint64)
+                ends = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32), np.arange(n_shards + 1))
+                rows = [(k, pack(np.diff(hashes[ends[k] : ends[k + 1]], prepend=np.uint64(0)), counts[ends[k] : ends[k + 1]], fit if k == block % n_shards else fit[:0])) for k in range(n_shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * n_shards, pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["shard", "block", "payload"])
 
     def add(table: pa.Table) -> pa.Table:
         blocks_, own = table.column("block").to_pylist(), [unpack(p) for p in table.column("payload").to_pylist()]
-        hashes, counts = np.concatenate([x[0] for x in own]), np.concatenate([x[1].astype(np.int64) for x in own])
-        fits = sum((x[3] for x in own if x[3].size), np.zeros(5))
+        hashes, counts = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in own]), np.concatenate([x[1].astype(np.int64) for x in own])
+        fits = sum((x[2] for x in own if x[2].size), np.zeros(5))
         distinct, inverse = np.unique(hashes, return_inverse=True)
-        sums = np.zeros(distinct.size, np.int64)
-        np.add.at(sums, inverse, counts)
+        sums = np.bincount(inverse, counts, distinct.size).astype(np.int64)
         ends = np.cumsum([x[0].size for x in own])
-        out = [pack(_small(sums[inverse[e - x[0].size : e]]), x[2]) for x, e in zip(own, ends, strict=True)]
+        out = [pack(_small(sums[inverse[e - x[0].size : e]])) for x, e in zip(own, ends, strict=True)]
         stats = [float(sums.sum()), float((sums > 0).sum()), *fits.tolist()]
-        return pa.table({"block": pa.array([*blocks_, -1], pa.int64()), "payload": pa.array([*out, None], pa.binary()), "stats": pa.array([None] * len(out) + [stats], pa.list_(pa.float64()))})
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard] * (len(out) + 1), pa.int32()), "block": pa.array([*blocks_, -1], pa.int64()), "payload": pa.array([*out, None], pa.binary()), "stats": pa.array([None] * len(out) + [stats], pa.list_(pa.float64()))})
 
     dealt = blocks.select("block", "payload").mapInArrow(deal, "shard int, block bigint, payload binary")
-    return dealt.groupBy("shard").applyInArrow(add, "block bigint, payload binary, stats array<double>")
+    return dealt.groupBy("shard").applyInArrow(add, "shard int, block bigint, payload binary, stats array<double>")
 
 
 def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
@@ -262,12 +257,10 @@ def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 block, payload = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
-                hashes, _, tokens, lengths, _ = unpack(payload)
-                tokens = tokens.astype(np.int64)
-                counts = np.zeros(hashes.size, np.int64)
-                for part in batch.column(4)[row].as_py():
-                    sums, at = unpack(part)
-                    counts[at] = sums
+                deltas, _, tokens, lengths, _ = unpack(payload)
+                hashes, tokens = np.cumsum(deltas, dtype=np.uint64), tokens.astype(np.int64)
+                answers = sorted((x["shard"], x["payload"]) for x in batch.column(4)[row].as_py())
+                counts = np.concatenate([unpack(p)[0].astype(np.int64) for _, p in answers])
                 held = batch.column(2)[row].as_py()
                 learn = np.array([h is False for h in held])
                 doc = np.repeat(np.arange(lengths.size), lengths)
@@ -293,6 +286,7 @@ def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
                 rank = np.empty_like(by_shard)
                 rank[by_shard] = np.arange(by_shard.size)
                 key = (rank[own].astype(np.uint64) << np.uint64(CODE_BITS)) | code
+                del before, code, part, own
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 fresh = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -317,6 +311,8 @@ def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
                     rows.append((k, pack(names[contexts], of_context, _small(sizes), low, high, _small(trained[a:b]), _small(counts[entry_word[a:b]]), _small(times[a:b]), _small(docs_[starts[a] : starts[b]]), np.array([lengths.size]))))
                 ids = pa.array([batch.column(1)[row].as_py()] + [None] * (len(rows) - 1), batch.column(1).type)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary()), ids, pa.array([held] + [None] * (len(rows) - 1), pa.list_(pa.bool_()))], names=["shard", "block", "payload", "doc_id", "held"])
+                del rows, key, order, doc, docs_, tokens
+                release_memory()
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
     return blocks.select("block", "doc_id", "held", "payload", "counts").mapInArrow(run, f"shard int, block bigint, payload binary, doc_id {kind}, held array<boolean>")
@@ -366,6 +362,8 @@ def _score_shards(bigrams: DataFrame, n: int, v: int, n_texts: int, a: float, b:
             size = x[3].size
             out.append(pack(np.bincount(x[8], np.repeat(found[first : first + size], x[7]), int(x[9][0]))))
             first += size
+        del own, contexts, inverse, rank, code, trained, word_count, unigram, found
+        release_memory()
         nothing = lambda like: pa.array([None] * len(out), like)
         return pa.table({"block": table.column("block"), "payload": pa.array(out, pa.binary()), "doc_id": nothing(table.column("doc_id").type), "held": nothing(table.column("held").type)})
 
@@ -395,7 +393,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     kind = own.schema["doc_id"].dataType.simpleString()
     size = estimated_bytes(docs, text_col)
     blocks = _blocks(own)
-    counted = store(_word_counts(blocks, shards_for(size, 4 * SHARD_BYTES)), "word-counts")
+    counted = store(_word_counts(blocks, shards_for(size, 16 * SHARD_BYTES)), "word-counts")
     stats = counted.read().where("block = -1").select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(7)]).first()
     n, v = int(stats.s0 or 0), int(stats.s1 or 0)
     points, sx, sy, sxx, sxy = (float(stats[i] or 0) for i in range(2, 7))
@@ -403,7 +401,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     b = min(1.0, max(0.0, (points * sxy - sx * sy) / spread)) if spread > 1e-9 else 0.5
     a = float(np.exp((sy - b * sx) / points)) if points else 1.0
     n_texts = own.where("held = false").count()
-    counts = counted.read().where("block >= 0").groupBy("block").agg(F.collect_list("payload").alias("counts"))
+    counts = counted.read().where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("counts"))
     n_shards = shards_for(size, SHARD_BYTES)
     bigrams = _bigrams(blocks.join(counts, "block"), n_shards, n, v)
     scored = _sum_blocks(_score_shards(bigrams, n, v, n_texts, a, b), kind, n)
