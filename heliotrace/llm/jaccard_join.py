@@ -17,7 +17,9 @@ that may link but have not been compared lie in components joined by edges of st
 verify. Such components form a cluster, and each cluster is joined exactly inside a task, by counting common tokens along the lists of its tokens. A cluster of more than
 ``CLUSTER_BLOCK`` sets is dealt in blocks, and each pair of blocks is one unit of work. A unit
 returns a spanning forest of its links. Whole sets are compared; a set is sent once to each unit. Keys whose frequent tokens would gather more than
-``SPLIT`` sets are split by set, and their parts meet by their centers.
+``SPLIT`` sets are split by set. A part gives the center, the least and the greatest size of each of
+its runs of comparable sizes; all runs of a key are chained by size in the same way, wherever one
+may hold a set comparable to another's, so a key's parts meet at every size.
 
 Defined results: a null or empty text has the empty set, size 0, and is its own component; rows
 with equal sets are linked; a null id has its set's component, or null; rows that repeat an id
@@ -269,8 +271,50 @@ def _stars(ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """First and last member of each of ``_stars``' runs."""
+    out, i = [], 0
+    while i < sizes.size:
+        behind = int(np.searchsorted(PERCENT * sizes.astype(np.int64), 100 * int(sizes[i]), side="right"))
+        out.append((i, behind - 1))
+        i = behind
+    return out
+
+
+def _chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of centers that join all runs (least size, center, greatest size) of a key that may hold comparable sets.
+
+    A center pairs with the smallest one of its run of comparable centers. The first beyond pairs with
+    the center before it if any run so far reaches a comparable size; if none does, no later one is reached either.
+    """
+    runs = sorted(runs)
+    out, (floor, center, reach), before = [], runs[0], runs[0][1]
+    for size, own, last in runs[1:]:
+        if PERCENT * size <= 100 * floor:
+            out.append((center, own))
+        else:
+            if PERCENT * size <= 100 * reach:
+                out.append((before, own))
+            floor, center = size, own
+        before, reach = own, max(reach, last)
+    return out
+
+
+def _center_pairs(buckets: DataFrame) -> DataFrame:
+    """(x_set, y_set, open): pairs that join the parts of split keys, by the runs of all parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for runs in batch.column(0).to_pylist():
+                pairs = _chain([(r["least"], r["center"], r["greatest"]) for r in runs])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), pa.array([True] * len(pairs), pa.bool_())], names=["x_set", "y_set", "open"])
+
+    runs = buckets.select(F.explode(F.arrays_zip("parent", "least", "center", "greatest")).alias("z")).groupBy("z.parent").agg(F.collect_set(F.struct("z.least", "z.center", "z.greatest")).alias("runs"))
+    return runs.where(F.size("runs") > 1).select("runs").mapInArrow(run, "x_set bigint, y_set bigint, open boolean")
+
+
 def _buckets(postings: DataFrame) -> DataFrame:
-    """(a, b, open, parent, center): pairs of stars, open if their buckets have more members; and the centers of split buckets' parts."""
+    """(a, b, open, parent, least, center, greatest): pairs of stars, open if their buckets have more members; and the runs of split buckets' parts."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, sizes, part = [], [], [], []
@@ -290,27 +334,29 @@ def _buckets(postings: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(first[1:], keys.size)
         pairs: dict[tuple[int, int], bool] = {}
-        seen: set[bytes] = set()
-        parents, centers = [], []
+        seen: set[tuple[bytes, bool]] = set()
+        parents, least, centers, greatest = [], [], [], []
         for i, j in zip(first.tolist(), ends.tolist(), strict=True):
             whole = part[i] < 0
-            if not whole:
+            for x, y in () if whole else _runs(sizes[i:j]):
                 parents.append(int(keys[i].view(np.int64)))
-                centers.append(int(ids[i]))
+                least.append(int(sizes[i + x]))
+                centers.append(int(ids[i + x]))
+                greatest.append(int(sizes[i + y]))
             own = ids[i:j]
-            if j - i < 2 or own.tobytes() in seen:
-                continue
-            seen.add(own.tobytes())
             more = j - i > 2 or not whole
+            if j - i < 2 or (own.tobytes(), more) in seen:
+                continue
+            seen.add((own.tobytes(), more))
             for x, y in _stars(own, sizes[i:j]):
                 pair = int(own[x]), int(own[y])
                 pairs[pair] = more or pairs.get(pair, False)
         return pa.table({
             "a": pa.array([[x for x, _ in pairs]], pa.list_(pa.int64())), "b": pa.array([[y for _, y in pairs]], pa.list_(pa.int64())), "open": pa.array([list(pairs.values())], pa.list_(pa.bool_())),
-            "parent": pa.array([parents], pa.list_(pa.int64())), "center": pa.array([centers], pa.list_(pa.int64())),
+            "parent": pa.array([parents], pa.list_(pa.int64())), "least": pa.array([least], pa.list_(pa.int64())), "center": pa.array([centers], pa.list_(pa.int64())), "greatest": pa.array([greatest], pa.list_(pa.int64())),
         })
 
-    return postings.groupBy("shard").applyInArrow(run, "a array<bigint>, b array<bigint>, open array<boolean>, parent array<bigint>, center array<bigint>")
+    return postings.groupBy("shard").applyInArrow(run, "a array<bigint>, b array<bigint>, open array<boolean>, parent array<bigint>, least array<bigint>, center array<bigint>, greatest array<bigint>")
 
 
 def _sets_at(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
@@ -460,11 +506,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = store(_buckets(_postings(docs, n_shards, frequent, width)), "buckets")
     side = lambda p: sets.read().select(F.col("a").alias(f"{p}_set"), F.col("rep").alias(p), F.col("n").alias(f"{p}_n"))
     comparable = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
-    # The parts of split keys meet by their first members.
-    centers = found.read().select(F.explode(F.arrays_zip("parent", "center")).alias("z")).groupBy("z.parent").agg(F.array_sort(F.collect_set("z.center")).alias("c"))
-    centers = centers.select(F.explode(F.slice("c", 2, 1 << 30)).alias("y_set"), F.col("c")[0].alias("x_set"), F.lit(True).alias("open"))
     stars = found.read().select(F.explode(F.arrays_zip("a", "b", "open")).alias("z")).select(F.col("z.a").alias("x_set"), F.col("z.b").alias("y_set"), F.col("z.open").alias("open"))
-    pairs = stars.unionByName(centers).groupBy("x_set", "y_set").agg(F.max("open").alias("open"))
+    pairs = stars.unionByName(_center_pairs(found.read())).groupBy("x_set", "y_set").agg(F.max("open").alias("open"))
     tried = store(pairs.join(side("x"), "x_set").join(side("y"), "y_set").where("x <> y"), "tried")
     found.drop()
     links = store(_verify(docs, tried.read().where(comparable).drop("open"), width), "links")

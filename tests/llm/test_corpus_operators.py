@@ -250,6 +250,39 @@ def test_jaccard_classes(spark, monkeypatch, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(classes(texts))
 
 
+def test_parts_of_a_key_meet_at_every_size(spark, monkeypatch):
+    """Sets of sizes 100 and 150 and none between share all frequent tokens, so 150 is never the first of a split key's part."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 16)
+    rng = random.Random(9)
+    ring = [f"w{i}" for i in range(150)] * 3
+    own = [" ".join(ring[i : i + 104]) for i in range(0, 150, 2)]
+    for k in range(6):
+        words = ring[:154]
+        words[rng.randrange(10, 140)] = f"x{k}"
+        own.append(" ".join(words))
+    texts = list(enumerate(own))
+    rows = jaccard_join.jaccard_classes(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(classes(texts))
+
+
+def test_parts_are_joined_wherever_sets_may_link():
+    """All comparable members of a key are connected by its parts' stars and the chain of their runs."""
+    rng = np.random.default_rng(10)
+    for _ in range(400):
+        n, parts = int(rng.integers(2, 30)), int(rng.integers(2, 5))
+        sizes, part = np.sort(rng.integers(10, rng.choice([30, 60, 300]), n)), rng.integers(0, parts, n)
+        edges, runs = [], []
+        for p in range(parts):
+            own = np.flatnonzero(part == p)
+            if own.size:
+                edges += [(int(own[x]), int(own[y])) for x, y in jaccard_join._stars(own, sizes[own])]
+                runs += [(int(sizes[own[x]]), int(own[x]), int(sizes[own[y]])) for x, y in jaccard_join._runs(sizes[own])]
+        label = list(range(n))
+        for x, y in edges + jaccard_join._chain(runs):
+            label = [label[x] if c == label[y] else c for c in label]
+        assert all(label[x] == label[y] for x, y in itertools.combinations(range(n), 2) if 75 * sizes[y] <= 100 * sizes[x])
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (0, "a b c d e f")], "doc_id bigint, text string")
     rows = jaccard_join.jaccard_classes(df).collect()
