@@ -53,7 +53,7 @@ PATTERNS = {
     "person": rf"(?<![{_UP}{_LOW}])(?:{_TITLE})\.? [{_UP}][{_LOW}]{{1,30}}(?: [{_UP}][{_LOW}]{{1,30}}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HINT = rf"[0-9]|(?:{_TITLE})\.? "
+_HINT = rf"[0-9@]|A(?:KI|SI)A|(?:{_TITLE})\.? "  # every pattern needs one of these
 SECRET_HEAD = r"\A[^=:]*[=:] *[\"']?"
 
 
