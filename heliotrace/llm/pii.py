@@ -5,10 +5,14 @@ security numbers, IBANs, access keys, secrets given by name, and persons named b
 keyed surrogates of the same type and format: digits stay digits and letters stay letters in
 place, cards keep a valid check digit, octets stay octets, persons get a name of the same gender
 and script. A surrogate is a function of the key, the type and the entity's canonical form (its
-digits, or lower case), so an entity has one surrogate in all documents, however it is spelled.
+digits, lower case, or an IBAN without spaces), so an entity has one surrogate in all documents,
+however it is spelled. A person counts by name parts, without the title: the family name's
+surrogate is drawn from the family name, and a given name's from it with its gender and family,
+so a person named in full keeps the family name where only a title and that name follow.
 
 Collisions are checked over the whole corpus: no two entities of a type share a surrogate and no
-surrogate is an entity that occurs. Entities that fail (all but the least of those that share)
+surrogate is an entity that occurs; for persons this holds for family names, and for given names
+of one gender inside a family. Names drawn again get longer, so that they do not run out. Entities that fail (all but the least of those that share)
 are drawn again with a higher attempt until none is left. Only those need a lookup; the others'
 surrogates are computed in place.
 
@@ -70,7 +74,7 @@ def _digits(text: Column) -> Column:
 def canonical_of(kind: Column, entity: Column) -> Column:
     """What all spellings of one entity have in common."""
     out = F.when(kind.isin("phone", "card", "ssn"), F.concat(F.when(entity.startswith("+"), "+").otherwise(""), _digits(entity)))
-    out = out.when(kind.isin("email", "person"), F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+    out = out.when(kind.isin("email", "family", "given"), F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
     return out.when(kind == "secret", F.regexp_replace(entity, SECRET_HEAD, "")).otherwise(entity)
 
 
@@ -97,10 +101,10 @@ def _like(text: Column, stream: Column, *, hex_only: Column | None = None) -> Co
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _refill(entity: Column, digits: Column) -> Column:
-    """The entity's digits replaced in order; all else stays."""
+def _refill(entity: Column, digits: Column, places: str = "[0-9]") -> Column:
+    """The entity's digits (or other ``places``) replaced in order; all else stays."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("j"))
-    step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["out"], F.substring(digits, a["j"] + 1, F.lit(1))).alias("out"), (a["j"] + 1).alias("j"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["j"].alias("j")))
+    step = lambda a, c: F.when(c.rlike(places), F.struct(F.concat(a["out"], F.substring(digits, a["j"] + 1, F.lit(1))).alias("out"), (a["j"] + 1).alias("j"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["j"].alias("j")))
     return F.aggregate(F.split(entity, ""), start, step, lambda a: a["out"])
 
 
@@ -117,10 +121,17 @@ def is_entity(kind: Column, entity: Column) -> Column:
     return F.when(kind == "card", _luhn(_digits(entity)) == 0).otherwise(F.lit(True))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """The replacement of an entity, in the entity's own spelling."""
-    canon = canonical_of(kind, entity)
-    stream = _stream(key, kind, canon, attempt)
+    """The replacement of an entity other than a name, in the entity's own spelling."""
+    return _let(canonical_of(kind, entity), lambda canon: _let(_stream(key, kind, canon, attempt), lambda stream: _in_place(kind, entity, canon, stream)))
+
+
+def _in_place(kind: Column, entity: Column, canon: Column, stream: Column) -> Column:
     digits = _digits(entity)
     drawn = F.array_join(F.transform(F.split(digits, ""), lambda c, i: _draw(stream, i, 10).cast("string")), "")
     # phone: the country code stays; card: the network's digit stays and the last digit makes the number valid
@@ -144,21 +155,50 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
     head = F.regexp_extract(entity, SECRET_HEAD, 0)
     secret = F.concat(head, _like(canon, stream, hex_only=canon.rlike(r"\A[0-9a-f]+\z")))
     access = F.concat(F.substring(entity, 1, 4), F.substring(_like(entity, stream), 5, 64))
-    iban = F.concat(F.substring(entity, 1, 2), F.substring(_like(entity, stream), 3, 64))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "iban", iban).otherwise(_person(entity, stream))
-
-
-def _person(entity: Column, stream: Column) -> Column:
-    """Title kept; one word becomes a family name, of more the last does and the others are given names."""
-    title = F.regexp_extract(entity, rf"\A(?:{_TITLE})\.?", 0)
-    female = F.regexp_replace(title, r"\.", "").isin(*[t for t, g in TITLES.items() if g == "f"])
-    cyrillic = F.substring(entity, F.length(title) + 2, F.lit(8)).rlike("[А-яЁё]")
-    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), _draw(stream, i, len(values)) + 1)
-    script = lambda f: F.when(cyrillic, f("cyrillic")).otherwise(f("latin"))
-    family = script(lambda s: F.initcap(F.concat(*[pick(SYLLABLES[s], F.lit(60 + i)) for i in range(4)])))
-    given = lambda i: script(lambda s: F.when(female, pick(GIVEN["f", s], i)).otherwise(pick(GIVEN["m", s], i)))
+    iban = _refill(entity, F.concat(F.substring(canon, 1, 2), F.substring(_like(canon, stream), 3, 64)), "[A-Z0-9]")
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "iban", iban)
+
+
+def _title(person: Column) -> Column:
+    return F.regexp_extract(person, rf"\A(?:{_TITLE})\.?", 0)
+
+
+def parts_of(kind: Column, entity: Column) -> Column:
+    """(kind, entity) of what has a surrogate of its own: an entity, or a person's name parts in order.
+
+    One word behind a title is a family name; of more the last is and the others are given names,
+    each as gender|family|name.
+    """
+    title = _title(entity)
+    gender = F.when(F.regexp_replace(title, r"\.", "").isin(*[t for t, g in TITLES.items() if g == "f"]), "f").otherwise("m")
     words = F.split(F.substring(entity, F.length(title) + 2, F.length(entity)), " ")
-    return F.concat(title, F.lit(" "), F.array_join(F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, family).otherwise(given(i))), " "))
+    part = lambda k, e: F.struct(F.lit(k).alias("kind"), e.alias("entity"))
+    names = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, part("family", w)).otherwise(part("given", F.concat_ws("|", gender, F.element_at(words, -1), w))))
+    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("entity"))))
+
+
+def name_surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
+    """A family name of four syllables, or a given name behind its gender and family; higher attempts take more."""
+    name = F.substring_index(entity, "|", -1)
+    script = lambda f: F.when(name.rlike("[А-яЁё]"), f("cyrillic")).otherwise(f("latin"))
+    count = lambda least, step, most: F.least(F.lit(most), F.lit(least) + F.floor(attempt / step).cast("int"))
+
+    def drawn(stream: Column) -> Column:
+        some = lambda n, values, at: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.array(*map(F.lit, values)), _draw(stream, i + at, len(values)) + 1))
+        family = script(lambda s: F.initcap(F.array_join(some(count(4, 4, 8), SYLLABLES[s], 60), "")))
+        given = lambda g: script(lambda s: F.array_join(some(count(1, 2, 4), GIVEN[g, s], 0), "-"))
+        head = F.substring(entity, F.lit(1), F.length(entity) - F.length(name))
+        return F.when(kind == "family", family).otherwise(F.concat(head, F.when(entity.startswith("f|"), given("f")).otherwise(given("m"))))
+
+    return _let(_stream(key, kind, F.lower(entity), attempt), drawn)
+
+
+def replacement(key: str, entity: Column, attempt) -> Column:
+    """An entity's surrogate in its own spelling, a person's title kept; ``attempt`` gives each part's attempt from its kind and canonical form."""
+    name = lambda p: _let(attempt(p["kind"], F.lower(p["entity"])), lambda n: F.substring_index(name_surrogate(key, p["kind"], p["entity"], n), "|", -1))
+    person = F.concat(_title(entity), F.lit(" "), F.array_join(F.transform(parts_of(F.lit("person"), entity), name), " "))
+    other = lambda kind: _let(attempt(kind, canonical_of(kind, entity)), lambda n: surrogate(key, kind, entity, n))
+    return _let(kind_of(entity), lambda kind: F.when(kind == "person", person).when(is_entity(kind, entity), other(kind)).otherwise(entity))
 
 
 def found(text: Column) -> Column:
@@ -167,15 +207,17 @@ def found(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, canon, entity): the entity is the least spelling."""
+    """Distinct (kind, canon, entity) of all parts: the entity is the least spelling."""
     spelled = docs.select(F.explode(F.array_distinct(found(F.col(text_col)))).alias("entity"))
     spelled = spelled.groupBy("entity").count().select("entity").withColumn("kind", kind_of(F.col("entity"))).where(is_entity(F.col("kind"), F.col("entity")))
+    spelled = spelled.select(F.explode(parts_of(F.col("kind"), F.col("entity"))).alias("p")).select("p.kind", "p.entity")
     return spelled.withColumn("canon", canonical_of(F.col("kind"), F.col("entity"))).groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
 
 
 def redrawn(entities_: DataFrame, key: str, *, max_attempts: int = 64) -> DataFrame | None:
     """(kind, canon, attempt) of the entities whose first draw collides; None if there is none."""
-    drawn = lambda df: df.withColumn("to", canonical_of(F.col("kind"), surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt"))))
+    part = [F.col(c) for c in ("kind", "entity", "attempt")]
+    drawn = lambda df: df.withColumn("to", F.when(part[0].isin("family", "given"), name_surrogate(key, *part)).otherwise(surrogate(key, *part))).withColumn("to", canonical_of(F.col("kind"), F.col("to")))
     state = store(drawn(entities_.withColumn("attempt", F.lit(0))), "surrogates")
     for n in range(1, max_attempts + 1):
         now = state.read()
@@ -202,15 +244,16 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         # Few entities need a lookup, so few texts do: these are met by a digest of the text, the rest stay in place.
         digest = F.struct(F.xxhash64(text), F.xxhash64(text, F.lit(1)))
         spelled = docs.select(F.explode(F.array_distinct(found(text))).alias("entity"), digest.alias("__pii_text"))
-        spelled = spelled.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical_of(F.col("kind"), F.col("entity")))
-        by_text = spelled.join(draws, ["kind", "canon"]).groupBy("__pii_text").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__pii_attempts"))
+        spelled = spelled.select(F.explode(parts_of(kind_of(F.col("entity")), F.col("entity"))).alias("p"), "__pii_text").select("p.kind", "p.entity", "__pii_text")
+        spelled = spelled.withColumn("canon", canonical_of(F.col("kind"), F.col("entity")))
+        by_text = spelled.join(draws, ["kind", "canon"]).groupBy("__pii_text").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__pii_attempts"))
         lookup = store(by_text, "redrawn").read()
         n = lookup.count()
         work = work.withColumn("__pii_text", digest).join(F.broadcast(lookup) if n <= 50_000 else lookup, "__pii_text", "left").drop("__pii_text")
+        attempt = lambda kind, canon: F.coalesce(F.element_at("__pii_attempts", F.concat_ws("|", kind, canon)), F.lit(0))
     else:
-        work = work.withColumn("__pii_attempts", F.lit(None).cast("map<string,int>"))
-    attempt = lambda e: F.coalesce(F.element_at("__pii_attempts", e), F.lit(0))
-    replaced = F.transform("__pii_found", lambda e: F.when(is_entity(kind_of(e), e), surrogate(key, kind_of(e), e, attempt(e))).otherwise(e))
+        attempt = lambda kind, canon: F.lit(0)
+    replaced = F.transform("__pii_found", lambda e: replacement(key, e, attempt))
     between = F.split(text, ENTITY, -1)
     joined = F.array_join(F.zip_with(between, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return work.select(*(F.when(F.size("__pii_found") > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

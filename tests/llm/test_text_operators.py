@@ -241,6 +241,22 @@ def test_texts_without_digits_or_titles(spark):
     assert all(re.fullmatch(f, t) and t != before for f, t, before in zip(forms, out, texts, strict=True))
 
 
+def test_one_surrogate_for_all_spellings(spark):
+    texts = [
+        "Mr Smith and Mr. Smith", "Mrs. Anna Schmidt came; Mrs. Schmidt left, Frau Anna Schmidt stayed", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000",
+        *[f"Mr. {chr(65 + i)}{c}{d} Smith" for i in range(26) for c in "ab" for d in "xy"],
+    ]
+    out = replaced(spark, texts)
+    smith = re.fullmatch(r"Mr (\w+) and Mr\. (\w+)", out[0]).groups()
+    assert smith[0] == smith[1] != "Smith"
+    anna = re.fullmatch(r"Mrs\. ([\w-]+) (\w+) came; Mrs\. (\w+) left, Frau ([\w-]+) (\w+) stayed", out[1]).groups()
+    assert anna[0] == anna[3] and anna[1] == anna[2] == anna[4] not in ("Schmidt", smith[0])
+    iban = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20})", out[2]).groups()
+    assert iban[0].replace(" ", "") == iban[1] != "DE89370400440532013000"
+    # more given names than the list has stay apart inside a family
+    assert len(set(out[3:])) == 104 and all(re.fullmatch(rf"Mr\. [\w-]+ {smith[0]}", t) for t in out[3:])
+
+
 def test_clean_texts_stay(spark):
     texts = [*EDGE, "version 2.0.1 of 1999", "card 4041894974608796", "Licensed under CC BY-NC 4.0.", "a@b", "1.2.3", "The Master of Mr", "a = b; token of thanks"]
     assert replaced(spark, texts) == texts
