@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import store
+from heliotrace.llm.common import release_memory, store
 
 MAX_TRAIN_DOCS = 20_000
 MAX_TOKENS = 50_000
@@ -44,7 +44,7 @@ CANDIDATE_Z = 2.5
 LEAST_Z = 3.2
 LEAST_COUNT = 4
 STEMS = (4, 5, 6)
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 DRIFT = 0.1
 LEAST_E = 0.5
 _EULER = 0.5772156649015329
@@ -94,6 +94,11 @@ class Model:
         self.scores, self.lam, self.k, self.slope, self.offset = state
         self.words = _Words(self.scores)
 
+    def forget(self) -> None:
+        """Drops the words met so far and gives their memory back: workers live on between tasks."""
+        self.words.clear()
+        release_memory()
+
     def segments(self, words: list[bytes]) -> list[tuple[float, int, int]]:
         """All maximal scoring segments (score, first word, behind last word), left to right."""
         if not self.scores or not words:
@@ -159,21 +164,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for f in features(word):
                     sums.setdefault(f, [0, 0])[kind] += n
         rows = list(sums.items())
+        del seen, sums
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.binary()), *(pa.array([n[k] for _, n in part], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
 
-    counts = store(rows.mapInArrow(count, "word binary, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST_COUNT), "features")
-    sums = counts.read().where(~F.col("word").cast("string").endswith("*")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    n_t, n_c = int(sums.t or 0), int(sums.c or 0)
+    counts = store(rows.mapInArrow(count, "word binary, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
+    letters = F.col("word").cast("string")
+    class_ = F.when(letters.endswith("*"), F.length(letters)).otherwise(0)
+    totals = {r["class"]: (int(r.t), int(r.c)) for r in counts.read().groupBy(class_.alias("class")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
+    n_t, n_c = totals.get(0, (0, 0))
     if not n_t or not n_c:
         return Model()
-    prior = PRIOR_SHARE * (n_t + n_c)
-    a = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR_SHARE)
-    odds = F.log((F.col("toxic") + a) / (n_t + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (n_c + prior - F.col("clean") - a))
-    z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    strong = lambda df, least: df.select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(MAX_TOKENS)
-    candidates = {bytes(r.word) for r in strong(counts.read(), CANDIDATE_Z).select("word").collect()}
+
+    def strong(df: DataFrame, least: float) -> DataFrame:
+        """Features by z, each against the totals (and one more) of its class: words, or stems of one length."""
+        a = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR_SHARE)
+        of = lambda k: F.coalesce(*(F.when(class_ == c, F.lit(t[k] + 1)) for c, t in totals.items()))
+        prior = (of(0) + of(1)) * F.lit(PRIOR_SHARE)
+        odds = F.log((F.col("toxic") + a) / (of(0) + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (of(1) + prior - F.col("clean") - a))
+        z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
+        return df.select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(MAX_TOKENS)
+
+    candidates = {bytes(r.word) for r in strong(counts.read().where(F.col("toxic") + F.col("clean") >= LEAST_COUNT), CANDIDATE_Z).select("word").collect()}
     counts.drop()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +267,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if passages:
                 columns.append(pa.array([[{"score": x, "first_word": a, "behind_word": b} for x, a, b in s] for _, s in found], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "score", "n_passages", "best_segment", *["passages"] * passages])
+        model.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -265,6 +279,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", *, thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([model.probability(model.evidence(tokens(t or ""))[0]) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        model.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
