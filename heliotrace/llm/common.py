@@ -159,9 +159,29 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, counts
 
 
+def text_hash(text: str | None) -> int:
+    """What F.xxhash64 gives for a text."""
+    import xxhash
+
+    if text is None:
+        return 42
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 MAX_BROADCAST_IDS = 1_000_000
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text are not in ``gone``, which has the ids (may be null) and the texts' xxhash64.
+
+    Up to MAX_BROADCAST_IDS of them are broadcast; more are joined by a shuffle.
+    """
+    gone = store(gone.toDF("__gone", "__hash").distinct(), "gone").read()
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay.
 

@@ -234,25 +234,20 @@ def corpus(rng, n_groups=12, copies=14):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_classes(spark, monkeypatch, seed):
-    if seed == 2:  # few known tokens, all of them combined, keys split by set
-        monkeypatch.setattr(jaccard_join, "COMBINE", 1)
-        monkeypatch.setattr(jaccard_join, "SPLIT", 4)
-        monkeypatch.setattr(jaccard_join, "STAR", 3)
-        monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 7)
-        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 500)
+def test_jaccard_classes(spark, seed):
+    # small limits: all repeated tokens combined, keys split by set, many blocks and units
+    limits = jaccard_join.Limits(block_shingles=500, combine=1, split=4, cluster_block=7, star=3) if seed == 2 else jaccard_join.Limits()
     rng = random.Random(seed)
     own = corpus(rng) + ["", None, "  ", "A b", "a B", "one two three four", "x " * 4_000]
     ids = rng.sample(range(10_000), len(own))
     texts = list(zip(ids, own, strict=True))
     df = spark.createDataFrame([(i, t, 3) for i, t in texts], "doc_id bigint, text string, n int")
-    rows = jaccard_join.jaccard_classes(df.repartition(3)).collect()
+    rows = jaccard_join.jaccard_classes(df.repartition(3), limits=limits).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(classes(texts))
 
 
-def test_parts_of_a_key_meet_at_every_size(spark, monkeypatch):
+def test_parts_of_a_key_meet_at_every_size(spark):
     """Sets of sizes 100 and 150 and none between share all frequent tokens, so 150 is never the first of a split key's part."""
-    monkeypatch.setattr(jaccard_join, "SPLIT", 16)
     rng = random.Random(9)
     ring = [f"w{i}" for i in range(150)] * 3
     own = [" ".join(ring[i : i + 104]) for i in range(0, 150, 2)]
@@ -261,10 +256,25 @@ def test_parts_of_a_key_meet_at_every_size(spark, monkeypatch):
         words[rng.randrange(10, 140)] = f"x{k}"
         own.append(" ".join(words))
     texts = list(enumerate(own))
-    rows = jaccard_join.jaccard_classes(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)).collect()
+    rows = jaccard_join.jaccard_classes(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1), limits=jaccard_join.Limits(split=16)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(classes(texts))
 
 
+def test_large_sets_of_a_hot_key_keep_their_links(spark):
+    """Eight long sets link with each other among 8,520 short ones of the same passage, at the limits of production."""
+    ring = [f"w{i}" for i in range(150)]
+    long = []
+    for k in range(8):
+        words = ring + [f"t{j}" for j in range(4)]
+        words[140 - k] = f"x{k}"  # five shingles of 150 differ
+        long.append(" ".join(words))
+    short = [" ".join([*ring[:100], f"s{i}", f"u{i}", f"v{i}"]) for i in range(0, 8_520)]
+    texts = [(i, t) for i, t in enumerate(short + long)]
+    rows = jaccard_join.jaccard_classes(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()
+    found = {r.doc_id: r.component_id for r in rows}
+    assert {found[i] for i in range(8_520, 8_528)} == {8_520} and {found[i] for i in range(8_520)} == {0}
+
+
 def test_parts_are_joined_wherever_sets_may_link():
     """All comparable members of a key are connected by its parts' stars and the chain of their runs."""
     rng = np.random.default_rng(10)
@@ -284,12 +294,22 @@ def test_parts_are_joined_wherever_sets_may_link():
 
 
 def test_jaccard_edges(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (0, "a b c d e f")], "doc_id bigint, text string")
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (None, "q"), (0, "a b c d e f"), (7, near), (7, "other text of six words here"), (None, near + " x"), (None, near + " y"), (8, near + " z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     rows = jaccard_join.jaccard_classes(df).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows if r.n_shingles == 2) == [("0", 2, 0), ("1", 2, 0), ("1", 2, 0), ("None", 2, 0)]
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows if r.n_shingles == 2 and r.component_id != 7) == [("0", 2, 0), ("1", 2, 0), ("1", 2, 0), ("None", 2, 0)]
+    assert {(r.doc_id, r.component_id) for r in rows if r.n_shingles > 10} == {(7, 7), (8, 7), (None, 7)}
+    assert [(r.component_id, r.n_shingles) for r in rows if r.doc_id == 7] in ([(7, 36), (7, 2)], [(7, 2), (7, 36)])
     assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
-    kept = jaccard_join.one_of_each_class(df)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "None", "None"]
+    kept = jaccard_join.one_of_each_class(df)  # rows without an id stay only in classes without one
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("0", "a b c d e f"), ("None", "q"), ("None", "q"), ("7", near), ("7", "other text of six words here")])
+
+
+def test_text_hash(spark):
+    texts = [None, "", "a", "Zażółć gęślą jaźń", "x" * 100, "日本語" * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").selectExpr("i", "xxhash64(text) AS h").collect()
+    assert {r.i: r.h for r in rows} == {i: common.text_hash(t) for i, t in enumerate(texts)}
 
 
 def test_prefix_keys_meet():
