@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import struct
 import tempfile
 import uuid
@@ -68,6 +69,34 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(df, name)
 
 
+class StoredBuckets(Stored):
+    """A stored table whose rows are bucketed by a column, so that joins by it do not move them."""
+
+    def __init__(self, df: DataFrame, name: str, by: str, n: int):
+        self.spark = df.sparkSession
+        self.table = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/tables/{self.table}"
+        df.write.format("parquet").bucketBy(n, by).option("path", self.path).option("compression", "zstd").saveAsTable(self.table)
+        Stored._all[self.path] = self.spark
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        super().drop()
+
+
+def store_buckets(df: DataFrame, name: str, by: str, n: int) -> StoredBuckets:
+    return StoredBuckets(df, name, by, n)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def estimated_bytes(df: DataFrame, text: str | None = None) -> int:
     """Size of a DataFrame from its plan's statistics; counted over ``text`` where the plan has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -132,37 +132,47 @@ def test_elias_fano():
         assert (ef.find(values, np.arange(n) + 1, np.full(n, n))[values != np.append(values[1:], np.uint64(1 << 50))] == -1).all() if n else True
 
 
-def lm_reference(texts, a, b):
+def lm_reference(texts, order, fits):
     words = [re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()) + ["\0"] for _, t in texts]
     held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts]
-    uni, bi, starts = Counter(), Counter(), 0
+    grams, starts = Counter(), 0
     for own, h in zip(words, held, strict=True):
         if h is False:
-            uni.update(own)
-            bi.update(zip(["\1", *own], own, strict=False))
+            marked = ["\1", *own]
+            grams.update((w,) for w in own)
+            for k in (2, 3):
+                grams.update(tuple(marked[i : i + k]) for i in range(len(marked) - k + 1))
             starts += 1
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    grams["\1",] = starts
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[gram] + 0.5) / (n + 0.5 * (v + 1))
+        c, (a, b) = grams[gram[:-1]], fits[len(gram)]
+        m = a * c**b if c else 1.0
+        return (grams[gram] + m * p(gram[1:])) / (c + m)
+
     out = []
     for own, h in zip(words, held, strict=True):
-        score = 0.0
-        for u, w in zip(["\1", *own], own, strict=False):
-            c = starts if u == "\1" else uni[u] if u != "\0" else 0
-            m = a * c**b if c else 1.0
-            score += math.log10((bi[u, w] + m * p1(w)) / (c + m))
-        out.append((h, len(own), sum(uni[w] > 0 for w in own), n, sum(math.log10(p1(w)) for w in own), score))
+        marked = ["\1", *own]
+        score = sum(math.log10(p(tuple(marked[max(0, i + 1 - order) : i + 1]))) for i in range(1, len(marked)))
+        out.append((h, len(own), sum(grams[w,] > 0 for w in own), n, sum(math.log10(p((w,))) for w in own), score))
     return out
 
 
-def test_lm_scores(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores(spark, monkeypatch, order):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(60)]
     texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(80, None), (81, ""), (None, "a b c"), (5, "a b"), (82, "new words only"), (83, "ab " * 3_000)]
+    texts += [(90 + i, texts[i][1]) for i in range(20)]  # copies, so that trigrams occur again
     df = spark.createDataFrame([(i, t, 2) for i, t in texts], "doc_id bigint, text string, score int")
-    fitted = {}
-    monkeypatch.setattr(lm_scoring, "_score_shards", lambda x, n, v, starts, a, b, run=lm_scoring._score_shards: fitted.update(a=a, b=b) or run(x, n, v, starts, a, b))
-    rows = lm_scoring.lm_scores(df).collect()
-    want = lm_reference(texts, **fitted)
+    fits = {}
+    monkeypatch.setattr(lm_scoring, "_answers", lambda x, n, v, starts, a, b, run=lm_scoring._answers: fits.update({2: (a, b)}) or run(x, n, v, starts, a, b))
+    monkeypatch.setattr(lm_scoring, "_score_shards", lambda x, n, v, a, b, run=lm_scoring._score_shards: fits.update({3: (a, b)}) or run(x, n, v, a, b))
+    rows = lm_scoring.lm_scores(df.repartition(3), order=order).collect()
+    want = lm_reference(texts, order, fits)
     key = lambda r: (str(r[0]), r[1], r[2], round(r[4], 6))
     got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=key)
     for g, w in zip(got, sorted(want, key=key), strict=True):
@@ -170,6 +180,8 @@ def test_lm_scores(spark, monkeypatch):
         assert g[5] == pytest.approx(w[5], rel=0.02, abs=0.2)  # quantised probabilities
     assert lm_scoring.lm_scores(df.limit(0)).count() == 0
     assert {r.n_known for r in lm_scoring.lm_scores(df.where("doc_id is null")).collect()} == {0}
+    with pytest.raises(ValueError):
+        lm_scoring.lm_scores(df, order=4)
 
 
 # chats ------------------------------------------------------------------------------------------
