@@ -155,6 +155,10 @@ class Engine:
         table, make = {"logs": (self.logs, otlp_encode.export_logs), "spans": (self.spans, otlp_encode.export_spans), "metrics": (self.metrics, otlp_encode.export_metrics)}[signal]
         return make(table, **options)
 
+    def export_all(self, signal: str = "logs") -> DataFrame:
+        """All records of a signal as requests, without the bound of one export."""
+        return otlp_encode.encode_all({"logs": self.logs, "spans": self.spans, "metrics": self.metrics}[signal], signal)
+
     @staticmethod
     def respond(call, *args, **kwargs) -> dict:
         """A call's response, or the body of its error."""

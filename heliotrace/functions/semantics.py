@@ -25,6 +25,11 @@ def java_regex(pattern: str) -> str:
         raise BadRequest("look-around is not part of the regular expressions here", feature="look-around")
     if re.search(r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)", pattern):
         raise BadRequest("back-references are not part of the regular expressions here", feature="back-reference")
+    plain = re.sub(r"\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]", "x", re.sub(r"\\[^\[\]]", "x", pattern))
+    if re.search(r"(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})\+", plain):
+        raise BadRequest("possessive quantifiers are not part of the regular expressions here", feature="possessive quantifier")
+    if re.search(r"(?<!\\)(?:\\\\)*\\[ZGRXhHV]", pattern):
+        raise BadRequest("an escape of the regular expression is not part of those here")
     for flags in re.findall(r"(?<!\\)\(\?([a-zA-Z-]+)[:)]", pattern):
         if set(flags) - set("imsx-"):
             raise BadRequest(f"regular expression flag in (?{flags}) is not supported")
@@ -61,7 +66,7 @@ def sanitize_name(name: str) -> str:
 
 def sanitize(name: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"), "^[0-9]", "_")
-    return F.when(out == "", F.lit("_")).otherwise(out)
+    return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*\\z"), name).when(name == "", F.lit("_")).otherwise(out)
 
 
 def label_key(labels: Column) -> Column:
@@ -93,10 +98,16 @@ def merge(*maps: Column) -> Column:
 
 
 def to_map(entries: Column) -> Column:
-    """A map of an array of (key, value); of a repeated key the last value stays, null keys go."""
+    """A map of an array of (key, value); of a repeated key the last value stays, null keys go. Arrays without either are taken as they are."""
+
+    def of(own: Column) -> Column:
+        last = F.filter(own, lambda e, i: e["key"].isNotNull() & ~F.exists(F.slice(own, i + 2, F.size(own)), lambda x: x["key"] == e["key"]))
+        keys = F.transform(own, lambda e: e["key"])
+        plain = (F.size(F.array_distinct(keys)) == F.size(own)) & ~F.exists(keys, lambda k: k.isNull())
+        return F.map_from_entries(F.when(plain, own).otherwise(last))
+
     own = F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
-    last = F.filter(own, lambda e, i: e["key"].isNotNull() & ~F.exists(F.slice(own, i + 2, F.size(own)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return F.element_at(F.transform(F.array(own), of), 1)  # bound once, as a lambda's variable
 
 
 def keep_labels(labels: Column, names: list[str]) -> Column:

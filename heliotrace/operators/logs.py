@@ -44,12 +44,11 @@ def _line(f: logql.LineFilter) -> Column:
     return hit if f.op == "|~" else ~hit
 
 
-def _base_labels() -> Column:
-    """Stream labels, then attributes by sanitised and by own name; attributes win."""
-    attributes = F.coalesce("attributes", S.empty_map())
-    stream = F.coalesce("stream", S.empty_map())
-    plain = S.to_map(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.struct(S.sanitize(e["key"]).alias("key"), e["value"].alias("value"))))
-    return S.merge(stream, plain, attributes)
+def _base_label(name: str) -> Column:
+    """An attribute by its own name, else the last one whose sanitised name is the same, else a stream label."""
+    attributes, stream = (F.coalesce(c, S.empty_map()) for c in ("attributes", "stream"))
+    same = F.filter(F.map_keys(attributes), lambda k: (F.length(k) == len(name)) & (S.sanitize(k) == name))
+    return F.coalesce(F.element_at(attributes, F.lit(name)), F.element_at(attributes, F.array_max(same)), F.element_at(stream, F.lit(name)))
 
 
 def _json_fields(stages, after: int) -> list[str] | None:
@@ -58,17 +57,33 @@ def _json_fields(stages, after: int) -> list[str] | None:
     return names if all("_" not in n for n in names) else None
 
 
-def _json_top_level(names: list[str]) -> Column:
-    """Top-level scalars and arrays of a JSON body as a map, without leaving the JVM."""
-    parsed = F.try_parse_json("body")
-    entries = []
-    for name in names:
-        own = F.try_variant_get(parsed, f"$.{name}", "variant")
-        kind = F.schema_of_variant(own)
-        text = F.when(kind.startswith("ARRAY"), F.to_json(own)).otherwise(F.try_variant_get(parsed, f"$.{name}", "string"))
-        value = F.when(own.isNull() | kind.startswith("OBJECT") | (kind == "VOID"), None).otherwise(text)
-        entries.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+def _json_struct(names: list[str]) -> Column:
+    """Named top-level fields of a JSON object, parsed once; all null where the body is something else."""
+    return F.from_json(F.when(F.ltrim("body").startswith("{"), F.col("body")), ", ".join(f"`{n}` variant" for n in names))
+
+
+def _json_text(value: Column) -> Column:
+    """A top-level scalar or array of a JSON body as text; objects are not fields. Only text that looks like one of them asks for its type."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    nested = F.when(kind.startswith("ARRAY"), F.to_json(value)).when(~kind.startswith("OBJECT"), text)
+    return F.when(F.substring(text, 1, 1).isin("[", "{"), nested).otherwise(text)
+
+
+def _holds(filters: list[logql.LabelFilter], parsers: list[tuple[str, Column, list[str]]], found: tuple = ()) -> Column:
+    """Whether label filters hold. Only the labels they name are looked up; a parsed body is bound once, as a lambda's variable."""
+    if parsers:
+        (kind, fields, names), *rest = parsers
+        if kind == "struct":
+            return F.exists(F.array(fields), lambda p: _holds(filters, rest, (*found, lambda n: _json_text(p[n]) if n in names else None)))
+        return _holds(filters, rest, (*found, lambda n: F.element_at(fields, F.lit(n))))
+
+    def value(name: str) -> Column:
+        parsed = [v for v in (f(name) for f in reversed(found)) if v is not None]
+        return F.coalesce(*parsed, _base_label(name), F.lit(""))
+
+    groups = [reduce(Column.__or__, (reduce(Column.__and__, (matches(value(m.name), m.op, m.value) for m in group)) for group in f.any_of)) for f in filters]
+    return reduce(Column.__and__, groups)
 
 
 def run_pipeline(df: DataFrame, query: logql.LogQuery) -> DataFrame:
@@ -78,16 +93,17 @@ def run_pipeline(df: DataFrame, query: logql.LogQuery) -> DataFrame:
     for stage in query.stages:  # every line filter looks at the body alone, so all of them go below the parsers
         if isinstance(stage, logql.LineFilter):
             df = df.where(_line(stage))
-    if any(isinstance(s, logql.LabelFilter) for s in query.stages):
-        df = df.withColumn("__labels", _base_labels())
-        for at, stage in enumerate(query.stages):
-            if isinstance(stage, logql.Parser) and any(isinstance(s, logql.LabelFilter) for s in query.stages[at:]):
-                names = _json_fields(query.stages, at) if stage.kind == "json" else None
-                fields = parse_logfmt("body") if stage.kind == "logfmt" else flatten_json("body") if names is None else _json_top_level(names)
-                df = df.withColumn("__fields", fields).withColumn("__labels", S.merge(F.col("__labels"), F.col("__fields")))
-            elif isinstance(stage, logql.LabelFilter):
-                groups = [reduce(Column.__and__, (matches(S.label(F.col("__labels"), m.name), m.op, m.value) for m in group)) for group in stage.any_of]
-                df = df.where(reduce(Column.__or__, groups))
+    parsers: list[tuple[str, Column, list[str]]] = []
+    for at, stage in enumerate(query.stages):
+        if isinstance(stage, logql.Parser) and any(isinstance(s, logql.LabelFilter) for s in query.stages[at:]):
+            names = _json_fields(query.stages, at) if stage.kind == "json" else None
+            if names is not None:
+                parsers.append(("struct", _json_struct(names), names))
+            else:
+                df = df.withColumn(f"__fields_{at}", parse_logfmt("body") if stage.kind == "logfmt" else flatten_json("body"))
+                parsers.append(("map", F.col(f"__fields_{at}"), []))
+        elif isinstance(stage, logql.LabelFilter):
+            df = df.where(_holds([stage], parsers))
     return df.select(*columns)
 
 

@@ -20,7 +20,7 @@ from heliotrace.operators.logs import in_range, matches
 from heliotrace.plans import promql
 
 MAX_STEPS = 11_000
-COLUMNS = ("k", "labels", "labels_key", "value")
+COLUMNS = ("k", "labels", "labels_key", "value", "name")
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,11 @@ def select_samples(df: DataFrame, matchers) -> DataFrame:
 
 
 class Evaluator:
-    """Turns an expression into a DataFrame of (k, labels, labels_key, value), or a plain number."""
+    """Turns an expression into a DataFrame of (k, labels, labels_key, value, name), or a plain number.
+
+    ``name`` is the metric's name that the labels have lost: samples of several metrics may have equal
+    labels at one point, and then the first by name is the one that a right side matches with.
+    """
 
     def __init__(self, samples: DataFrame, grid: Grid):
         self.samples, self.grid, self.spark = samples, grid, samples.sparkSession
@@ -95,7 +99,7 @@ class Evaluator:
 
     def _finish(self, df: DataFrame, value: Column) -> DataFrame:
         labels = S.drop_labels(F.col("labels"), [promql.NAME])
-        return df.select("k", labels.alias("labels"), S.label_key(labels).alias("labels_key"), value.alias("value"))
+        return df.select("k", labels.alias("labels"), S.label_key(labels).alias("labels_key"), value.alias("value"), S.label(F.col("labels"), promql.NAME).alias("name"))
 
     def _selector(self, s: promql.Selector) -> DataFrame:
         newest = self._dealt(s, promql.LOOKBACK).groupBy("series", "k").agg(F.max_by("value", F.struct("ts", "seq")).alias("v"), F.first("labels").alias("labels"))
@@ -117,7 +121,7 @@ class Evaluator:
         """A plain number as one sample without labels at each point."""
         if isinstance(value, DataFrame):
             return value
-        return self.grid.points(self.spark).select("k", S.empty_map().alias("labels"), F.lit("[]").alias("labels_key"), F.lit(float(value)).alias("value"))
+        return self.grid.points(self.spark).select("k", S.empty_map().alias("labels"), F.lit("[]").alias("labels_key"), F.lit(float(value)).alias("value"), F.lit("").alias("name"))
 
     def _map(self, value, column, plain):
         return plain(value) if not isinstance(value, DataFrame) else value.withColumn("value", column(F.col("value")))
@@ -142,13 +146,13 @@ class Evaluator:
         v = F.col("value")
         value = {"sum": F.sum(v), "avg": F.sum(v) / F.count("*"), "min": S.nan_min(v), "max": S.nan_max(v), "count": F.count("*").cast("double")}[node.op]
         keyed = inner.select("k", group.alias("labels"), S.label_key(group).alias("labels_key"), "value")
-        return keyed.groupBy("k", "labels_key").agg(F.first("labels").alias("labels"), value.alias("value")).select(*COLUMNS)
+        return keyed.groupBy("k", "labels_key").agg(F.first("labels").alias("labels"), value.alias("value"), F.lit("").alias("name")).select(*COLUMNS)
 
     def _binary(self, node: promql.Binary):
         left, right = self.eval(node.left), self.eval(node.right)
         if node.op == "or":
             left, right = self._vector(left), self._vector(right)
-            first = right.groupBy("k", "labels_key").agg(F.first("labels").alias("labels"), F.min("value").alias("value")).select(*COLUMNS)
+            first = right.groupBy("k", "labels_key").agg(F.first("labels").alias("labels"), F.min_by("value", "name").alias("value"), F.min("name").alias("name")).select(*COLUMNS)
             return left.unionByName(first.join(left.select("k", "labels_key").distinct(), ["k", "labels_key"], "left_anti"))
         frames = isinstance(left, DataFrame), isinstance(right, DataFrame)
         if frames == (False, False):
@@ -157,7 +161,7 @@ class Evaluator:
             return left.withColumn("value", S.arithmetic(node.op, F.col("value"), right))
         if frames == (False, True):
             return right.withColumn("value", S.arithmetic(node.op, left, F.col("value")))
-        other = right.groupBy("k", "labels_key").agg(F.min("value").alias("right_value"))
+        other = right.groupBy("k", "labels_key").agg(F.min_by("value", "name").alias("right_value"))
         return left.join(other, ["k", "labels_key"]).withColumn("value", S.arithmetic(node.op, F.col("value"), F.col("right_value"))).select(*COLUMNS)
 
     def _quantile(self, node: promql.Quantile) -> DataFrame:
@@ -170,7 +174,7 @@ class Evaluator:
         bound = F.when(le == "+Inf", F.lit(S.INF)).otherwise(S.parse_number(le))
         rows = inner.select("k", rest.alias("labels"), S.label_key(rest).alias("labels_key"), bound.alias("bound"), "value").where("bound is not null")
         if not 0 <= q <= 1:  # NaN too: one row for each input series
-            return rows.select("k", "labels", "labels_key", F.lit(-S.INF if q < 0 else S.INF).alias("value"))
+            return rows.select("k", "labels", "labels_key", F.lit(-S.INF if q < 0 else S.INF).alias("value"), F.lit("").alias("name"))
         buckets = rows.groupBy("k", "labels_key").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("bound", F.col("value").alias("count")))).alias("b"))
         total = F.element_at("b", -1)["count"]
         buckets = buckets.withColumn("wanted", total * F.lit(float(q))).where((total > 0) & ~F.isnan(total))
@@ -181,7 +185,7 @@ class Evaluator:
         low, low_count = F.coalesce(before["bound"], F.lit(0.0)), F.coalesce(before["count"], F.lit(0.0))
         inside = here["count"] - low_count
         value = F.when(here["bound"] == S.INF, low).when(inside <= 0, here["bound"]).otherwise(low + (here["bound"] - low) * F.try_divide(F.col("wanted") - low_count, inside))
-        return buckets.select("k", "labels", "labels_key", value.alias("value"))
+        return buckets.select("k", "labels", "labels_key", value.alias("value"), F.lit("").alias("name"))
 
 
 def instant(samples: DataFrame, text: str, at: int) -> DataFrame:

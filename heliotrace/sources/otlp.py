@@ -8,6 +8,7 @@ A request that is not JSON of the expected shape is refused as a whole (``invali
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ from heliotrace.sources import anyvalue as A
 
 SEVERITIES = ("trace", "debug", "info", "warn", "error", "fatal")
 SEVERITY_WORDS = {  # fixed values: text -> severity
-    "trace": "trace", "verbose": "trace", "debug": "debug", "dbg": "debug", "info": "info", "information": "info", "informational": "info", "notice": "info",
-    "warn": "warn", "warning": "warn", "error": "error", "err": "error", "fatal": "fatal", "critical": "fatal", "crit": "fatal", "alert": "fatal", "emergency": "fatal", "emerg": "fatal", "panic": "fatal",
+    "trace": "trace", "trc": "trace", "verbose": "trace", "debug": "debug", "dbg": "debug", "info": "info", "information": "info", "inf": "info", "notice": "info", "warn": "warn", "warning": "warn", "wrn": "warn",
+    "error": "error", "err": "error", "severe": "error", "fatal": "fatal", "critical": "fatal", "crit": "fatal", "alert": "fatal", "emergency": "fatal", "panic": "fatal",
 }
 SPAN_KINDS = {f"SPAN_KIND_{k}": i for i, k in enumerate(("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER"))}
 STATUS_CODES = {"STATUS_CODE_UNSET": 0, "STATUS_CODE_OK": 1, "STATUS_CODE_ERROR": 2}
@@ -49,12 +50,26 @@ _METRIC = f"array<struct<name:string,gauge:struct<dataPoints:array<{_POINT}>>,su
 METRICS = f"resourceMetrics array<struct<resource:{A.RESOURCE},scopeMetrics:array<struct<scope:{A.SCOPE},metrics:{_METRIC}>>>>"
 
 
-def _requests(df: DataFrame, schema: str, top: str) -> DataFrame:
-    """(received_nanos, request_ok, resources): requests in order of arrival."""
+def _leaves(df: DataFrame, schema: str, top: str, middle: str, leaf: str, name: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(received_nanos, bad, what ``prepare`` makes of resource and scope, leaf): the records of all requests, and one row for a request that is not of the shape.
+
+    Each request is parsed once: nothing is asked of the parsed column but its arrays. Labels of
+    resource and scope are made once for all records of a scope, before these are dealt out.
+    """
     received = F.col("received_nanos") if "received_nanos" in df.columns else F.unix_micros(F.current_timestamp()) * 1000
     parsed = F.from_json("body", schema + ", `__corrupt` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
-    own = df.select(received.alias("received_nanos"), parsed.alias("r"))
-    return own.select("received_nanos", (F.col("r").isNotNull() & F.col("r.__corrupt").isNull()).alias("request_ok"), F.col(f"r.{top}").alias("resources"))
+    rows = df.select(received.alias("received_nanos"), F.explode(F.array(parsed)).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.__corrupt").isNotNull()
+    rows = rows.select("received_nanos", bad.alias("bad"), F.explode_outer(F.when(~bad, F.col(f"r.{top}"))).alias("res"))
+    rows = rows.select("received_nanos", "bad", "res.resource", F.explode_outer(f"res.{middle}").alias("sc"))
+    rows = prepare(rows.select("received_nanos", "bad", "resource", "sc.scope", F.col(f"sc.{leaf}").alias("__leaves")))
+    rows = rows.select(*[c for c in rows.columns if c != "__leaves"], F.explode_outer("__leaves").alias(name))
+    return rows.where(F.col("bad") | F.col(name).isNotNull())
+
+
+def _refused(rows: DataFrame) -> DataFrame:
+    """Rows of bad requests keep nothing but their reason, which comes before all others."""
+    return rows.select(*[F.when(F.col("bad"), "invalid_request").otherwise(F.col(c)).alias(c) if c == "reject_reason" else F.when(~F.col("bad"), F.col(c)).alias(c) for c in rows.columns if c != "bad"])
 
 
 def _found_labels(rows: DataFrame, scope_name: bool) -> DataFrame:
@@ -71,11 +86,11 @@ def _found_labels(rows: DataFrame, scope_name: bool) -> DataFrame:
     return rows.withColumn("app", F.coalesce(F.element_at("found", F.lit("app")), F.element_at("found", F.lit("service_name")), F.lit("unknown"))).drop("of_resource", "of_scope", "resource", "scope")
 
 
-def _with_stream(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Adds ``stream``: the promoted labels, the app, and the column ``level`` if there is one."""
-    rows = _found_labels(rows, True).withColumn("stream", S.keep_labels(F.col("found"), [*limits.stream_labels, "scope_name"]))
-    fixed = [F.lit("app"), F.col("app")] + ([F.lit("level"), F.col("level")] if "level" in rows.columns else [])
-    return rows.withColumn("stream", F.map_concat(S.drop_labels(F.col("stream"), ["app", "level"] if "level" in rows.columns else ["app"]), F.create_map(*fixed))).drop("found", "app")
+def _with_stream(rows: DataFrame, limits: Limits, level: bool) -> DataFrame:
+    """Adds ``stream``: the promoted labels and the app; where records bring a ``level``, no other label has that name."""
+    rows = _found_labels(rows, True)
+    kept = [n for n in (*limits.stream_labels, "scope_name") if n != "app" and not (level and n == "level")]
+    return rows.withColumn("stream", F.map_concat(S.keep_labels(F.col("found"), kept), F.create_map(F.lit("app"), F.col("app")))).drop("found", "app")
 
 
 def _label_fault(limits: Limits, labels: Column, *, lengths: bool = True) -> Column:
@@ -103,36 +118,28 @@ def cap_bytes(text: Column, most: int) -> Column:
 
 def decode_logs(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(timestamp_nanos, seq, stream, severity, severity_text, body, attributes, trace_id, span_id, rescaled, reject_reason)."""
-    df = _requests(requests, LOGS, "resourceLogs")
-    rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeLogs").alias("sc"))
-    rows = rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.logRecords").alias("rec"))
+    rows = _leaves(requests, LOGS, "resourceLogs", "scopeLogs", "logRecords", "rec", lambda df: _with_stream(df, limits, True))
     rows = rows.withColumn("list_body", F.struct("rec.body.arrayValue", "rec.body.kvlistValue"))
-    rows = _with_stream(rows.withColumn("level", severity(A.enum(F.col("rec.severityNumber"), {}), F.col("rec.severityText"))), limits)
+    rows = rows.withColumn("level", severity(A.enum(F.col("rec.severityNumber"), {}), F.col("rec.severityText")))
+    rows = rows.withColumn("stream", F.map_concat("stream", F.create_map(F.lit("level"), F.col("level"))))
     time, observed = A.unsigned(F.col("rec.timeUnixNano")), A.unsigned(F.col("rec.observedTimeUnixNano"))
     body = F.coalesce(A.composites(F.col("list_body.arrayValue"), F.col("list_body.kvlistValue")), A.scalar_text(F.col("rec.body")), F.lit(""))
     rows = rows.select(
         F.coalesce(A.rescale(time), A.rescale(observed), F.col("received_nanos")).alias("timestamp_nanos"), F.monotonically_increasing_id().alias("seq"),
         "stream", F.col("level").alias("severity"), F.col("rec.severityText").alias("severity_text"), body.alias("body"),
         A.attributes(F.col("rec.attributes")).alias("attributes"), A.normalise_id(F.col("rec.traceId")).alias("trace_id"), A.normalise_id(F.col("rec.spanId")).alias("span_id"),
-        F.coalesce(A.rescale(time) != time, F.lit(False)).alias("rescaled"),
+        F.coalesce(A.rescale(time) != time, F.lit(False)).alias("rescaled"), "bad",
     )
     long_line = F.octet_length("body") > limits.line_bytes
     reason = F.coalesce(F.when(long_line & F.lit(not limits.truncate), "line_too_long"), F.when(F.size("attributes") > limits.attributes, "too_many_attributes"), _label_fault(limits, F.col("stream")))
     rows = rows.withColumn("reject_reason", reason)
     if limits.truncate:
         rows = rows.withColumn("body", F.when(long_line, F.concat(cap_bytes(F.col("body"), limits.line_bytes), F.lit(TRUNCATED))).otherwise(F.col("body")))
-    return _with_bad_requests(df, rows)
-
-
-def _with_bad_requests(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    bad = requests.where(~F.col("request_ok")).select(*[(F.lit("invalid_request") if c == "reject_reason" else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns])
-    return rows.unionByName(bad)
+    return _refused(rows)
 
 
 def decode_traces(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    df = _requests(requests, TRACES, "resourceSpans")
-    rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeSpans").alias("sc"))
-    rows = _with_stream(rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.spans").alias("s")), limits)
+    rows = _leaves(requests, TRACES, "resourceSpans", "scopeSpans", "spans", "s", lambda df: _with_stream(df, limits, False))
     start = F.coalesce(A.rescale(A.unsigned(F.col("s.startTimeUnixNano"))), F.col("received_nanos"))
     kind = F.get(F.array(*map(F.lit, ("unspecified", "internal", "server", "client", "producer", "consumer"))), F.coalesce(A.enum(F.col("s.kind"), SPAN_KINDS), F.lit(0)))
     status = F.get(F.array(*map(F.lit, ("unset", "ok", "error"))), F.coalesce(A.enum(F.col("s.status.code"), STATUS_CODES), F.lit(0)))
@@ -141,10 +148,10 @@ def decode_traces(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
         A.normalise_id(F.col("s.traceId")).alias("trace_id"), A.normalise_id(F.col("s.spanId")).alias("span_id"), A.normalise_id(F.col("s.parentSpanId")).alias("parent_span_id"),
         F.coalesce("s.name", F.lit("")).alias("name"), F.coalesce(kind, F.lit("unspecified")).alias("kind"), start.alias("start_nanos"),
         F.coalesce(A.rescale(A.unsigned(F.col("s.endTimeUnixNano"))), start).alias("end_nanos"), F.coalesce(status, F.lit("unset")).alias("status"), F.col("s.status.message").alias("status_message"),
-        F.monotonically_increasing_id().alias("seq"), "stream", A.attributes(F.col("s.attributes")).alias("attributes"), events.alias("events"),
+        F.monotonically_increasing_id().alias("seq"), "stream", A.attributes(F.col("s.attributes")).alias("attributes"), events.alias("events"), "bad",
     )
     reason = F.coalesce(F.when(F.col("trace_id").isNull(), "invalid_trace_id"), F.when(F.col("span_id").isNull(), "invalid_span_id"), F.when(F.size("attributes") > limits.attributes, "too_many_attributes"), _label_fault(limits, F.col("stream"), lengths=False))
-    return _with_bad_requests(df, rows.withColumn("reject_reason", reason))
+    return _refused(rows.withColumn("reject_reason", reason))
 
 
 def metric_name(name: Column) -> Column:
@@ -165,11 +172,9 @@ def expand_histogram(counts: Column, bounds: Column) -> Column:
 
 def decode_metrics(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(timestamp_nanos, seq, labels, value, kind, reject_reason): gauges, sums and histograms (as buckets, sum and count)."""
-    df = _requests(requests, METRICS, "resourceMetrics")
-    rows = df.where("request_ok").select("received_nanos", F.explode("resources").alias("res")).select("received_nanos", "res.resource", F.explode("res.scopeMetrics").alias("sc"))
-    rows = rows.select("received_nanos", "resource", "sc.scope", F.explode("sc.metrics").alias("m"))
-    rows = _found_labels(rows, False).withColumn("base", F.map_concat(S.drop_labels(F.col("found"), ["app"]), F.create_map(F.lit("app"), F.col("app"))))
-    rows = rows.select("received_nanos", "base", metric_name(F.col("m.name")).alias("name"), "m")
+    base = F.map_concat(S.drop_labels(F.col("found"), ["app"]), F.create_map(F.lit("app"), F.col("app")))
+    rows = _leaves(requests, METRICS, "resourceMetrics", "scopeMetrics", "metrics", "m", lambda df: _found_labels(df, False).withColumn("base", base).drop("found", "app"))
+    rows = rows.select("received_nanos", "bad", "base", metric_name(F.col("m.name")).alias("name"), "m")
     value = lambda p: F.coalesce(p["asDouble"].try_cast("double"), A.signed(p["asInt"]).cast("double"), F.lit(0.0))
     point = "struct<t:string,a:" + A.ATTRIBUTES + ",suffix:string,le:string,value:double,kind:string>"
     empty = F.array().cast(f"array<{point}>")
@@ -182,17 +187,17 @@ def decode_metrics(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     kind = F.when(F.coalesce("m.sum.isMonotonic", F.lit(False)), "counter").otherwise("gauge")
     points = F.concat(plain(F.col("m.gauge.dataPoints"), F.lit("gauge")), plain(F.col("m.sum.dataPoints"), kind), histogram)
     other = F.col("m.summary").isNotNull() | F.col("m.exponentialHistogram").isNotNull()
-    rows = rows.withColumn("points", points).select("received_nanos", "base", "name", other.alias("other"), F.explode_outer("points").alias("p")).where("p is not null or other")
+    rows = rows.withColumn("points", points).select("received_nanos", "bad", "base", "name", other.alias("other"), F.explode_outer("points").alias("p")).where("p is not null or other or bad")
     extra = F.when(F.col("p.le").isNotNull(), F.create_map(F.lit("le"), F.col("p.le"))).otherwise(S.empty_map())
     named = F.create_map(F.lit("__name__"), F.concat("name", F.coalesce("p.suffix", F.lit(""))))
     rows = rows.withColumn("own", A.attributes(F.col("p.a"), sanitised=True)).withColumn("own", S.merge(F.col("base"), F.col("own")))
     rows = rows.withColumn("fixed", F.map_concat(extra, named))
     rows = rows.select(
         F.coalesce(A.rescale(A.unsigned(F.col("p.t"))), F.col("received_nanos")).alias("timestamp_nanos"), F.monotonically_increasing_id().alias("seq"),
-        S.merge(F.col("own"), F.col("fixed")).alias("labels"), F.col("p.value").alias("value"), F.coalesce("p.kind", F.lit("unknown")).alias("kind"), "other", "name",
+        S.merge(F.col("own"), F.col("fixed")).alias("labels"), F.col("p.value").alias("value"), F.coalesce("p.kind", F.lit("unknown")).alias("kind"), "other", "name", "bad",
     )
     reason = F.coalesce(F.when(F.col("other"), "unsupported_metric_type"), F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, "missing_metric_name"), _label_fault(limits, F.col("labels")))
-    return _with_bad_requests(df, rows.withColumn("reject_reason", reason).drop("other", "name"))
+    return _refused(rows.withColumn("reject_reason", reason).drop("other", "name"))
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotrace.schema import LOGS, METRICS, SPANS
 
+BATCH = "ingest_batch"
 DAY = 86_400 * 10**9
 LAYOUT = {  # signal -> time column, sort order inside files, columns with Bloom filters, schema
     "logs": ("timestamp_nanos", ("app", "timestamp_nanos", "seq"), ("trace_id",), LOGS),
@@ -25,19 +28,37 @@ def hoisted(df: DataFrame, signal: str) -> DataFrame:
     return out.withColumn("signal_day", F.expr(f"date_add(date'1970-01-01', cast({time} div {DAY} as int))"))
 
 
-def append(df: DataFrame, path: str, signal: str, *, compression: str = "zstd") -> None:
-    """One commit of records; rows of a day are range-sorted inside each file."""
+def append(df: DataFrame, path: str, signal: str, *, compression: str = "zstd", batch: str | None = None) -> None:
+    """One commit of records; rows of a day are range-sorted inside each file. A batch written again replaces itself."""
     _, order, bloom, _ = LAYOUT[signal]
-    writer = hoisted(df, signal).repartition("signal_day", "app").sortWithinPartitions("signal_day", *order).write.mode("append").option("compression", compression)
+    rows = hoisted(df, signal).withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
+    writer = rows.repartition("signal_day", "app").sortWithinPartitions("signal_day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
     for column in bloom:
         if column in df.columns or column == "name":
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.partitionBy("signal_day").parquet(path)
+    writer.partitionBy("signal_day", BATCH).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, signal: str) -> DataFrame:
+    return spark.read.schema(f"{LAYOUT[signal][3]}, app string, signal_day date, {BATCH} string").parquet(path)
+
+
+def with_live(spark: SparkSession, path: str, signal: str, live: DataFrame) -> DataFrame:
+    """Stored records and those of batches still on their way, each once.
+
+    ``live`` has the table's columns and the batch's name in ``ingest_batch``; batches that the table
+    holds by now are taken from the table alone. Their names come from the table's partitions.
+    """
+    stored = _stored(spark, path, signal)
+    known = stored.select(BATCH).distinct()
+    fresh = live.join(F.broadcast(known), BATCH, "left_anti")  # names only, a few bytes for each batch
+    own = hoisted(fresh, signal).select(*[c for c in stored.columns if c in {*fresh.columns, "app", "name", "signal_day"}])
+    return stored.unionByName(own, allowMissingColumns=True).drop(BATCH)
 
 
 def read(spark: SparkSession, path: str, signal: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """Records of a time range: whole days are pruned by partition, the rest by file statistics."""
-    df = spark.read.schema(f"{LAYOUT[signal][3]}, app string, signal_day date").parquet(path)
+    df = _stored(spark, path, signal).drop(BATCH)
     time = LAYOUT[signal][0]
     for bound, inside in ((start, lambda c, b: c >= b), (end, lambda c, b: c <= b)):
         if bound is not None:

@@ -7,7 +7,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from heliotrace.errors import BadRequest, LimitExceeded, Unsupported
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from heliotrace.errors import BadRequest, LimitExceeded, QueryError, Unsupported
 
 MAX_BODY = 64 << 20
 
@@ -54,6 +58,29 @@ def decompress(body: bytes, encoding: str | None, most: int = MAX_BODY) -> bytes
     raise Unsupported(f"content encoding {name}")
 
 
+def encoding_of(path: Column) -> Column:
+    """The content encoding that a file's name tells; none of these is identity."""
+    return F.when(path.rlike(r"\.gz\z"), "gzip").when(path.rlike(r"\.(?:deflate|zz)\z"), "deflate").when(path.rlike(r"\.zst\z"), "zstd").otherwise("identity")
+
+
+def bodies(requests: DataFrame, most: int = MAX_BODY) -> DataFrame:
+    """(body, received_nanos) of requests (content, encoding, received_nanos): each decompressed within ``most`` bytes.
+
+    A body that cannot be read is null, which the decoders refuse as ``invalid_request``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, encoding, received in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    text = decompress(content or b"", encoding, most).decode()
+                except (QueryError, UnicodeDecodeError):
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([text], pa.string()), pa.array([received], pa.int64())], names=["body", "received_nanos"])
+
+    return requests.select("content", "encoding", "received_nanos").mapInArrow(run, "body string, received_nanos bigint")
+
+
 def varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:

@@ -1,11 +1,14 @@
 """Continuous ingest, live tail, relay and streaming admission with Structured Streaming.
 
-The checkpoint is the write-ahead log: a batch is replayed whole after a crash, and tables take
-each batch once by its id. Nothing is dropped as late: there is no watermark on stored records.
+The checkpoint is the write-ahead log: a batch is replayed whole after a crash. A batch is written to
+partitions of its own, named by the query's checkpoint and the batch's number, and a replay overwrites
+them, so a table holds each batch once. Nothing is dropped as late: there is no watermark on stored
+records.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,26 +20,37 @@ from heliotrace.functions import semantics as S
 from heliotrace.operators.admission import GLOBAL, PER_APP
 from heliotrace.operators.logs import run_pipeline
 from heliotrace.plans import logql
-from heliotrace.sources import otlp, tables
+from heliotrace.sources import otlp, tables, wire
 
 DECODERS = {"logs": otlp.decode_logs, "spans": otlp.decode_traces, "metrics": otlp.decode_metrics}
 
 
 def landing(spark: SparkSession, path: str, *, files_per_trigger: int = 100) -> DataFrame:
     """Requests that arrive as text files, one JSON request on each line; back-pressure is the number of files for each trigger."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).withColumnRenamed("value", "body")
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select(F.col("value").alias("body"), (F.unix_micros("_metadata.file_modification_time") * 1000).alias("received_nanos"))  # a replay gives the same times
+
+
+def landing_bodies(spark: SparkSession, path: str, *, files_per_trigger: int = 100, most: int = wire.MAX_BODY) -> DataFrame:
+    """Requests that arrive as one file each, compressed as the file's name says (.gz, .deflate, .zst, else not)."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return wire.bodies(files.select("content", wire.encoding_of(F.col("path")).alias("encoding"), (F.unix_micros("modificationTime") * 1000).alias("received_nanos")), most)
 
 
 def ingest(requests: DataFrame, signal: str, table: str, rejects: str, checkpoint: str, limits: otlp.Limits = otlp.Limits(), *, app: str | None = None):
     """Decodes each batch, appends accepted records to the table and counts of refusals beside it."""
 
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
     def batch(df: DataFrame, batch_id: int) -> None:
+        name = f"{run}-{batch_id}"
         decoded = DECODERS[signal](df, limits).persist()
         good = otlp.accepted(decoded)
         if app is not None:
             good = otlp.stamp(good, app, "labels" if signal == "metrics" else "stream")
-        tables.append(good, table, signal)
-        otlp.rejected(decoded).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(rejects)
+        tables.append(good, table, signal, batch=name)
+        counts = otlp.rejected(decoded).select(F.lit(name).alias(tables.BATCH), F.lit(batch_id).alias("batch"), "reason", "records")
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tables.BATCH).parquet(rejects)
         decoded.unpersist()
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -47,24 +61,50 @@ def tail(records: DataFrame, text: str) -> DataFrame:
     return run_pipeline(records, logql.parse(text)).select("timestamp_nanos", "stream", "body")
 
 
-def relay(records: DataFrame, encode: Callable[[DataFrame], DataFrame], post: Callable[[str], int], checkpoint: str):
-    """Ships each batch as encoded requests; the cursor moves only after every request was taken (at least once).
+RELAY_PAGE = 50_000
+
+
+def ship(records: DataFrame, encode: Callable[..., DataFrame], post: Callable[[str], int], *, time: str = "timestamp_nanos", page: int = RELAY_PAGE, per_line: int = 2_000) -> int:
+    """Posts all records in order of time, a page of them at a time, and gives their number.
 
-    A request answered 413 is sent again in halves of its records' batches.
+    A cursor of (time, position) walks the pages, so records of equal time are neither lost nor
+    repeated between pages. Only a request answered 413 is sent again, in halves of its records;
+    any other answer than 2xx is an error, and so is 413 for a single record.
     """
+    own = records.withColumn("seq", F.monotonically_increasing_id()).persist()
+    place = F.struct(F.col(time), F.col("seq"))
+    at = lambda cursor: F.struct(F.lit(cursor[0]).cast("long").alias(time), F.lit(cursor[1]).cast("long").alias("seq"))
+
+    def send(part: DataFrame, lines: int) -> tuple[int, tuple[int, int] | None]:
+        sent, last = 0, None
+        for row in encode(part, limit=page, per_line=lines).orderBy("batch").toLocalIterator():
+            status, end = post(row.body), (row.last_nanos, row.last_seq)
+            if status == 413 and row.records > 1:
+                cut = part.where(place <= at(end)) if last is None else part.where((place > at(last)) & (place <= at(end)))
+                send(cut, -(-row.records // 2))
+            elif not 200 <= status < 300:
+                raise RuntimeError(f"the receiver answered {status}")
+            sent, last = sent + row.records, end
+        return sent, last
+
+    total, cursor = 0, None
+    try:
+        while True:
+            rest = own if cursor is None else own.where(place > at(cursor))
+            sent, last = send(rest.orderBy(time, "seq").limit(page), per_line)
+            total += sent
+            if sent < page:
+                return total
+            cursor = last
+    finally:
+        own.unpersist()
+
+
+def relay(records: DataFrame, encode: Callable[..., DataFrame], post: Callable[[str], int], checkpoint: str, *, time: str = "timestamp_nanos", page: int = RELAY_PAGE):
+    """Ships each batch whole; the checkpoint moves only after every request was taken (at least once)."""
 
     def batch(df: DataFrame, _: int) -> None:
-        def ship(part: DataFrame, per_line: int) -> None:
-            for row in encode(part, per_line=per_line).orderBy("batch").toLocalIterator():
-                status = post(row.body)
-                if status == 413 and row.records > 1:
-                    numbered = part.where(F.col("timestamp_nanos") <= row.last_nanos)
-                    ship(numbered, max(1, per_line // 2))
-                elif not 200 <= status < 300:
-                    raise RuntimeError(f"the receiver answered {status}")
-
-        if not df.isEmpty():
-            ship(df, 2_000)
+        ship(df, encode, post, time=time, page=page)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
