@@ -308,3 +308,152 @@ SELECT app, le, 'event_value' || suffix AS name, v::DOUBLE AS value, 'histogram'
   SELECT app, '10' AS le, '_bucket' AS suffix, b0 AS v FROM h UNION ALL SELECT app, '50.5', '_bucket', b1 FROM h UNION ALL SELECT app, '+Inf', '_bucket', n FROM h
   UNION ALL SELECT app, '', '_sum', 12.5 FROM h UNION ALL SELECT app, '', '_count', n FROM h)""",
 )
+
+
+# what decoders make of odd input ---------------------------------------------------------------
+
+
+def _log_requests(e: DataFrame, record: str, resource: str = "[]", scope: str = "{}") -> DataFrame:
+    """One request with one record for each row; ``record``, ``resource`` and ``scope`` are SQL texts of JSON."""
+    return e.select(F.expr(f"""concat('{{"resourceLogs":[{{"resource":{{"attributes":', {resource}, '}},"scopeLogs":[{{"scope":', {scope}, ',"logRecords":[', {record}, ']}}]}}]}}')""").alias("body"), F.lit(T0).alias("received_nanos"))
+
+
+def _decoded(requests: DataFrame, **limits) -> DataFrame:
+    from heliotrace.sources import otlp
+
+    return otlp.decode_logs(requests, otlp.Limits(**limits))
+
+
+_WORDS = ("TRC", " Verbose", "dbg", "inf", "notice", "wrn", "Severe", "crit", "panic", "informational", "emerg", "")
+_add(
+    "otlp_severity",
+    lambda spark, d: _decoded(_log_requests(V._events(spark, d), f"""concat('{{"severityNumber":', CASE WHEN user_id % 3 = 0 THEN user_id % 30 ELSE 0 END, ',"severityText":"', element_at(array({', '.join(f"'{w}'" for w in _WORDS)}), CAST(user_id % {len(_WORDS)} AS INT) + 1), '"}}')""", "'[]'", "'{}'")).groupBy("severity", F.element_at("stream", F.lit("level")).alias("level")).agg(F.count("*").alias("n")),
+    f"""WITH w AS (SELECT CASE WHEN user_id % 3 = 0 THEN user_id % 30 ELSE 0 END AS number, user_id % {len(_WORDS)} AS word FROM events),
+s AS (SELECT CASE WHEN number BETWEEN 1 AND 24 THEN ['trace', 'debug', 'info', 'warn', 'error', 'fatal'][(number - 1) // 4 + 1] ELSE ['trace', 'trace', 'debug', 'info', 'info', 'warn', 'error', 'fatal', 'fatal', 'unknown', 'unknown', 'unknown'][word + 1] END AS severity FROM w)
+SELECT severity, severity AS level, count(*) AS n FROM s GROUP BY severity""",
+)
+_BODY = """CASE user_id % 6 WHEN 0 THEN '{"stringValue":"s"}' WHEN 1 THEN '{"boolValue":true}' WHEN 2 THEN concat('{"intValue":"', user_id, '"}') WHEN 3 THEN concat('{"doubleValue":', user_id, '.0}') WHEN 4 THEN concat('{"arrayValue":{"values":[{"intValue":"', user_id, '"},{"stringValue":"x"}]}}') ELSE concat('{"kvlistValue":{"values":[{"key":"k","value":{"intValue":', user_id, '}}]}}') END"""
+_add(
+    "otlp_any_values",
+    lambda spark, d: _decoded(_log_requests(V._events(spark, d), f"""concat('{{"body":', {_BODY}, ',"attributes":[{{"key":"a.b","value":{{"stringValue":"first"}}}},{{"key":"a.b","value":', {_BODY}, '}},{{"key":"none","value":{{}}}}]}}')""", "'[]'", "'{}'")).select("body", F.size("attributes").alias("attributes")).groupBy("body", "attributes").agg(F.count("*").alias("n")),
+    """SELECT body, CAST(1 AS INTEGER) AS attributes, count(*) AS n FROM (SELECT CASE user_id % 6 WHEN 0 THEN 's' WHEN 1 THEN 'true' WHEN 2 THEN user_id::VARCHAR WHEN 3 THEN user_id::VARCHAR WHEN 4 THEN '[' || user_id || ',"x"]' ELSE '{"k":' || user_id || '}' END AS body FROM events) GROUP BY body""",
+)
+_UNIT = "element_at(array(1000000000, 1000000, 1000, 1, 0), CAST(user_id % 5 AS INT) + 1)"
+_add(
+    "otlp_times",
+    lambda spark, d: _decoded(_log_requests(V._events(spark, d), f"""concat('{{"timeUnixNano":"', CASE WHEN user_id % 5 = 4 THEN user_id ELSE timestamp_nanos div 1000000000 * (1000000000 div {_UNIT}) END, '","observedTimeUnixNano":', CASE WHEN user_id % 2 = 0 THEN '"0"' ELSE '"{T0 + 5 * 10**9}"' END, '}}')""".replace("div element_at", "div greatest(1, element_at").replace("+ 1))", "+ 1)))"), "'[]'", "'{}'")).select("timestamp_nanos", "rescaled").groupBy("timestamp_nanos", "rescaled").agg(F.count("*").alias("n")),
+    f"SELECT timestamp_nanos, rescaled, count(*) AS n FROM (SELECT CASE WHEN user_id % 5 < 4 THEN epoch_us(ts) // 1000000 * 1000000000 WHEN user_id % 2 = 1 THEN {T0 + 5 * 10**9} ELSE {T0} END AS timestamp_nanos, user_id % 5 < 3 AS rescaled FROM events) GROUP BY 1, 2",
+)
+_add(
+    "otlp_limits",
+    lambda spark, d: _decoded(
+        _log_requests(V._events(spark, d), """concat('{"body":{"stringValue":"', repeat('é', CAST(user_id % 9 AS INT)), '"},"attributes":[', CASE WHEN user_id % 7 = 0 THEN '{"key":"a","value":{"intValue":1}},{"key":"b","value":{"intValue":1}},{"key":"c","value":{"intValue":1}}' ELSE '' END, ']}')""", """concat('[{"key":"service.name","value":{"stringValue":"', repeat('v', CAST(user_id % 13 AS INT)), '"}}]')""", "'{}'"),
+        line_bytes=9, attributes=2, label_value=10,
+    ).groupBy("reject_reason", F.when(F.col("reject_reason").isNull(), F.col("body")).alias("body")).agg(F.count("*").alias("n")),
+    """SELECT reject_reason, CASE WHEN reject_reason IS NULL THEN body END AS body, count(*) AS n FROM (
+  SELECT CASE WHEN user_id % 7 = 0 THEN 'too_many_attributes' WHEN user_id % 13 > 10 THEN 'label_value_too_long' END AS reject_reason, CASE WHEN user_id % 9 > 4 THEN 'éééé…[truncated]' ELSE repeat('é', user_id % 9) END AS body FROM events) GROUP BY 1, 2""",
+)
+_add(
+    "otlp_labels",
+    lambda spark, d: _decoded(_log_requests(V._events(spark, d), "'{}'", """concat('[{"key":"service.name","value":{"stringValue":"', event_type, '"}},{"key":"service-version","value":{"intValue":"', user_id % 3, '"}},{"key":"host.name","value":{"stringValue":"h"}}]')""", """CASE WHEN user_id % 2 = 0 THEN '{"name":"sc","attributes":[{"key":"app","value":{"stringValue":"from-scope"}}]}' ELSE '{}' END""")).groupBy(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("stream")))).alias("stream")).agg(F.count("*").alias("n")),
+    """SELECT '{"app":"' || CASE WHEN user_id % 2 = 0 THEN 'from-scope' ELSE event_type END || '","level":"unknown"' || CASE WHEN user_id % 2 = 0 THEN ',"scope_name":"sc"' ELSE '' END || ',"service_name":"' || event_type || '","service_version":"' || user_id % 3 || '"}' AS stream, count(*) AS n FROM events GROUP BY 1""",
+)
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.sources import otlp
+
+    return otlp.stamp(V.logs(spark, d), "sender").groupBy(F.element_at("stream", F.lit("app")).alias("app"), F.element_at("stream", F.lit("level")).alias("level")).agg(F.count("*").alias("n"))
+
+
+_add("identity_stamp", _stamped, f"SELECT 'sender' AS app, level, count(*) AS n FROM ({V.SQL_LOGS}) GROUP BY level")
+
+
+def _compressed(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as gzip, deflate, zstd and plain bodies, and one that is none of what it claims."""
+    from heliotrace.sources import otlp, otlp_encode, wire
+
+    def pack(batches):
+        import gzip
+        import zlib
+
+        import pyarrow as pa
+        import zstandard
+
+        forms = {"gzip": gzip.compress, "deflate": zlib.compress, "zstd": zstandard.compress, "identity": bytes}
+        for batch in batches:
+            for k, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = list(forms)[k % 4]
+                yield pa.RecordBatch.from_arrays([pa.array([forms[name](body.encode()), b"nope"], pa.binary()), pa.array([name, "gzip"]), pa.array([T0, T0], pa.int64())], names=["content", "encoding", "received_nanos"])
+
+    requests = otlp_encode.encode_all(V.logs(spark, d), "logs", per_line=500).select("batch", "body").mapInArrow(pack, "content binary, encoding string, received_nanos bigint")
+    rows = otlp.decode_logs(wire.bodies(requests)).where("reject_reason is null")
+    return rows.groupBy(F.element_at("stream", F.lit("app")).alias("app")).agg(F.count("*").alias("n"), F.max("timestamp_nanos").alias("newest"))
+
+
+_add("compressed_bodies", _compressed, f"SELECT app, count(*) AS n, max(timestamp_nanos) AS newest FROM ({V.SQL_LOGS}) GROUP BY app")
+
+
+def _stream_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a log source, one for each app and level, as records again."""
+    from heliotrace.sources import transfer
+
+    value = F.to_json(F.array(F.col("timestamp_nanos").cast("string"), "body"))
+    pages = V.logs(spark, d).groupBy(F.to_json("stream").alias("stream")).agg(F.array_join(F.collect_list(value), ",").alias("values"))
+    pages = pages.select(F.concat(F.lit('{"data":{"result":[{"stream":'), "stream", F.lit(',"values":['), "values", F.lit("]}]}}")).alias("body"))
+    return transfer.decode_stream_pages(pages).select("timestamp_nanos", F.element_at("stream", F.lit("app")).alias("app"), "body")
+
+
+_add("import_stream_pages", _stream_pages, f"SELECT timestamp_nanos, app, {V.SQL_JSON_BODY} AS body FROM ({V.SQL_LOGS})")
+
+
+def _remote_read(spark: SparkSession, d: str) -> DataFrame:
+    """A day of a remote series with a sample each minute, read by the hour."""
+    from heliotrace.sources import remote_write, transfer, wire
+
+    def post(body: bytes) -> bytes:
+        (query,) = [{n: v for n, _, v in wire.fields(q)} for _, _, q in wire.fields(wire.snappy_decode(body))]
+        return remote_write.encode_read_response([({"__name__": "up", "job": "j"}, [(t, t / 1000) for t in range(-(-query[1] // 60_000) * 60_000, query[2] + 1, 60_000)])])
+
+    first = T0 // 10**6
+    rows = transfer.pull_metrics(spark, post, first + 30_000, first + 86_400_000, [("__name__", "=", "up")])
+    return rows.select("timestamp_nanos", "value", F.element_at("labels", F.lit("app")).alias("app"))
+
+
+_add("remote_read_windows", _remote_read, f"SELECT t * 1000000000 AS timestamp_nanos, t::DOUBLE AS value, 'j' AS app FROM range({T0 // 10**9 + 60}, {T0 // 10**9 + 86_400 + 1}, 60) r(t)")
+
+
+def _figures_of(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.operators import selfmetrics
+
+    rows = selfmetrics.figures({"logs": V.logs(spark, d), "metrics": V.gauge(spark, d)}, max_series=10)
+    return rows.select("name", S.label(F.col("labels"), "signal").alias("signal"), S.label(F.col("labels"), "app").alias("app"), "value")
+
+
+_add(
+    "self_figures", _figures_of,
+    f"""WITH s AS (SELECT 'logs' AS signal, app, app || '/' || level || '/' || service_name AS series FROM ({V.SQL_LOGS}) UNION ALL SELECT 'metrics', app, app || '/' || event_type FROM ({V.SQL_GAUGE}))
+SELECT 'heliotrace_records_appended_total' AS name, signal, '' AS app, count(*)::DOUBLE AS value FROM s GROUP BY signal UNION ALL SELECT 'heliotrace_series_active', signal, '', count(DISTINCT series)::DOUBLE FROM s GROUP BY signal
+UNION ALL SELECT 'heliotrace_app_rows', signal, app, count(*)::DOUBLE FROM s GROUP BY signal, app UNION ALL SELECT 'heliotrace_app_series', signal, app, count(DISTINCT series)::DOUBLE FROM s GROUP BY signal, app UNION ALL SELECT 'heliotrace_series_limit', '', '', 10.0::DOUBLE""",
+)
+
+
+def _rollup(spark: SparkSession, d: str) -> DataFrame:
+    from heliotrace.streaming import ingest
+
+    rows = ingest.rollup(V.gauge(spark, d), "6 hours").withColumn("series", F.regexp_extract("series", r'"app","value":"([^"]*)"', 1))
+    return rows.groupBy(F.unix_micros("start").alias("start_micros"), F.col("series").alias("app")).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+_add("metric_rollup", _rollup, f"SELECT timestamp_nanos // {6 * HOUR} * {6 * HOUR // 1000} AS start_micros, app, count(*) AS n, min(value) AS least, max(value) AS greatest FROM ({V.SQL_GAUGE}) GROUP BY 1, 2")
+
+
+# two metrics with the same labels: the first by name is what a right side matches with
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    own = V.gauge(spark, d)
+    return own.unionByName(own.withColumn("labels", S.merge(F.col("labels"), F.create_map(F.lit("__name__"), F.lit("a_value")))).withColumn("value", F.col("value") * 10))
+
+
+_TWO = (_two, V.SQL_GAUGE, "event_type")
+_range("prom_duplicate_labels", _TWO, '{event_type="click"} - {event_type="click"}', 6 * HOUR, f"(SELECT t, app, other, unnest([value * 10, value]) - value * 10 AS value FROM {_at(GAUGE, _D6, where=chr(34) + 'event_type' + chr(34) + ' = ' + chr(39) + 'click' + chr(39))})")
+_range("prom_or_duplicates", _TWO, 'event_value{event_type="click"} or {event_type=~"click|view"}', 6 * HOUR, f"(SELECT t, app, other, CASE other WHEN 'click' THEN value ELSE value * 10 END AS value FROM {_at(GAUGE, _D6)} WHERE other IN ('click', 'view'))")

@@ -192,3 +192,124 @@ def test_streaming_admission(spark, tmp_path):
     query = ingest.admit_stream(stream, max_series=3, max_series_per_app=2).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.series_key, r.reason) for r in spark.table("admitted").collect()} == {("x", None), ("y", None), ("z", None), ("w", "limits.max_series")}
+
+
+def test_relay_ships_everything_once(spark):
+    """50,001 records, more than a page, with one time for all of the last 1,000; a request that is too large is halved alone."""
+    df = spark.range(50_001).select((F.lit(T * 10**9) + F.least(F.col("id"), F.lit(49_000))).alias("timestamp_nanos"), F.col("id").alias("seq"), F.create_map(F.lit("app"), F.lit("a")).alias("stream"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("body"), F.create_map().cast("map<string,string>").alias("attributes"))
+    sent, refused = [], []
+
+    def post(body):
+        lines = [r["body"]["stringValue"] for res in json.loads(body)["resourceLogs"] for sc in res["scopeLogs"] for r in sc["logRecords"]]
+        if len(lines) > 1_500 and "line 7" in lines:
+            refused.append(len(lines))
+            return 413
+        sent.extend(lines)
+        return 200
+
+    assert ingest.ship(df, otlp_encode.export_logs, post, page=20_000) == 50_001
+    assert len(refused) == 1 and len(sent) == 50_001 and len(set(sent)) == 50_001
+    with pytest.raises(RuntimeError):
+        ingest.ship(df.limit(1), otlp_encode.export_logs, lambda body: 413)
+    with pytest.raises(RuntimeError):
+        ingest.ship(df.limit(1), otlp_encode.export_logs, lambda body: 500)
+    assert ingest.ship(df.limit(0), otlp_encode.export_logs, post) == 0
+
+
+def test_a_batch_that_runs_twice_is_stored_once(spark, tmp_path):
+    import shutil
+
+    landing, table, rejects, checkpoint = (str(tmp_path / n) for n in ("in", "table", "rejects", "c"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(log_request({"body": {"stringValue": "without a time"}}, {"timeUnixNano": str(T * 10**9), "body": {"stringValue": "hello"}}) + "\n{bad\n")
+    run = lambda: ingest.ingest(ingest.landing(spark, landing), "logs", table, rejects, checkpoint).awaitTermination()
+    run()
+    first = sorted((r.body, r.timestamp_nanos) for r in tables.read(spark, table, "logs").collect())
+    shutil.rmtree(tmp_path / "c" / "commits")  # as after a crash between the writing and the commit
+    run()
+    assert sorted((r.body, r.timestamp_nanos) for r in tables.read(spark, table, "logs").collect()) == first and len(first) == 2
+    assert [(r.reason, r.records) for r in spark.read.parquet(rejects).collect()] == [("invalid_request", 1)]
+    names = [r[0] for r in spark.read.parquet(table).select(tables.BATCH).distinct().collect()]
+    live = tables._stored(spark, table, "logs").where("body = 'hello'").drop("app", "signal_day")
+    late = live.withColumn(tables.BATCH, F.lit("next")).withColumn("body", F.lit("late"))
+    assert len(names) == 1 and sorted(r.body for r in tables.with_live(spark, table, "logs", live.unionByName(late)).collect()) == ["hello", "late", "without a time"]
+
+
+def test_compressed_landing(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    (tmp_path / "in").mkdir()
+    request = log_request({"timeUnixNano": str(T * 10**9), "body": {"stringValue": "x"}}).encode()
+    for name, body in {"a.json.gz": gzip.compress(request), "b.zst": zstandard.compress(request), "c.json": request, "d.gz": b"nope"}.items():
+        (tmp_path / "in" / name).write_bytes(body)
+    table, rejects = str(tmp_path / "table"), str(tmp_path / "rejects")
+    ingest.ingest(ingest.landing_bodies(spark, str(tmp_path / "in")), "logs", table, rejects, str(tmp_path / "c")).awaitTermination()
+    assert [r.body for r in tables.read(spark, table, "logs").collect()] == ["x"] * 3
+    assert [(r.reason, r.records) for r in spark.read.parquet(rejects).collect()] == [("invalid_request", 1)]
+
+
+def test_imports_of_foreign_answers(spark):
+    page = json.dumps({"data": {"result": [{"stream": {"app": "a"}, "values": [[str(T * 10**9), "one"], [str(T * 10**9 + 1), "two", {"structuredMetadata": {"k": "v"}}], ["x", "bad"], [str(T * 10**9 + 2), "three", {"m": "n"}]]}]}})
+    rows = sorted(transfer.decode_stream_pages(spark.createDataFrame([(page,), ("{bad",), ('{"data":{}}',)], "body string")).collect())
+    assert [(r.timestamp_nanos - T * 10**9, r.body, r.attributes, r.stream) for r in rows] == [(0, "one", {}, {"app": "a"}), (1, "two", {"k": "v"}, {"app": "a"}), (2, "three", {"m": "n"}, {"app": "a"})]
+    values = [[str(t), f"l{t}"] for t in (1, 2, 2, 3, 4, 5)]
+    fetch = lambda a, b: json.dumps({"data": {"result": [{"stream": {}, "values": [v for v in reversed(values) if a <= int(v[0]) <= b][:3]}]}})
+    assert sorted(r.body for r in transfer.import_streams(spark, fetch, 0, 10, 3).collect()) == ["l1", "l2", "l2", "l3", "l4", "l5"]
+
+    traces = {f"{i:032x}": 100 + i // 3 for i in range(1, 20)}
+    search = lambda a, b: json.dumps({"traces": [{"traceID": t, "startTimeUnixNano": str(s * 10**9)} for t, s in sorted(traces.items(), key=lambda x: (-x[1], x[0])) if a <= s <= b][:5]})
+    get = lambda t: json.dumps({"batches": [{"scopeSpans": [{"spans": [{"traceId": t, "spanId": "0a", "startTimeUnixNano": str(T * 10**9)}]}]}]})
+    assert sorted(r.trace_id for r in transfer.import_traces(spark, search, get, 0, 1_000).collect()) == sorted(traces)
+
+
+def test_remote_read_in_windows(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from heliotrace.sources.remote_read import RemoteRead
+
+    def answer(body):
+        (query,) = [dict((n, v) for n, _, v in wire.fields(q)) for _, _, q in wire.fields(wire.snappy_decode(body))]
+        return remote_write.encode_read_response([({"__name__": "up", "app": "a"}, [(t, float(t)) for t in range(T * 1000, T * 1000 + 100, 10) if query[1] <= t <= query[2]])])
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            out = answer(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    pulled = transfer.pull_metrics(spark, answer, T * 1000, T * 1000 + 99, [("__name__", "=", "up")], 25)
+    assert pulled.rdd.getNumPartitions() == 4 and sorted(r.value for r in pulled.collect()) == [float(T * 1000 + 10 * i) for i in range(10)]
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(RemoteRead)
+    read = spark.read.format("remote_read").options(url=f"http://127.0.0.1:{server.server_port}/", start=T * 1000, end=T * 1000 + 99, window=40, matchers='[["__name__", "=", "up"]]').load()
+    assert read.rdd.getNumPartitions() == 3 and sorted(r.value for r in read.collect()) == [float(T * 1000 + 10 * i) for i in range(10)]
+    server.shutdown()
+
+
+def test_own_figures_and_command_line(spark, tmp_path, capsys):
+    from heliotrace import __main__ as shell
+    from heliotrace.operators import selfmetrics
+
+    path = str(tmp_path / "logs")
+    tables.append(_log_table(spark, 20), path, "logs")
+    df, files = tables.read(spark, path, "logs"), tables.files(spark, path, "logs")
+    rejects = spark.createDataFrame([("logs", 'bad "x"', 2), ("logs", 'bad "x"', 1)], "signal string, reason string, records bigint")
+    text = selfmetrics.exposition(spark, selfmetrics.figures({"logs": df}, files=files, rejects=rejects, budget_bytes=1, max_series=7))
+    for line in ('heliotrace_records_appended_total{signal="logs"} 20', 'heliotrace_app_rows{app="a0",signal="logs"} 10', 'heliotrace_series_active{signal="logs"} 2', 'heliotrace_ingest_rejected_total{reason="bad \\"x\\"",signal="logs"} 3', "heliotrace_storage_over_budget 1", "heliotrace_series_limit 7"):
+        assert line in text.split("\n"), line
+    assert text.count("# TYPE") == len(selfmetrics.FIGURES)
+    assert shell.main(["--data", str(tmp_path), "logs", '{app="a1"} |= "line 3"', "--start", str(T), "--end", str(T + 10**6)]) == 0
+    assert json.loads(capsys.readouterr().out)["body"] == "line 3"
+    assert shell.main(["--data", str(tmp_path), "export", "logs", str(tmp_path / "out")]) == 0
+    assert shell.main(["--data", str(tmp_path / "new"), "import", "logs", str(tmp_path / "out")]) == 0
+    assert tables.read(spark, str(tmp_path / "new" / "logs"), "logs").count() == 20
+    assert shell.main(["--data", str(tmp_path), "logs", "{app="]) == 1
+    assert shell.main(["--data", str(tmp_path), "figures"]) == 0 and "heliotrace_segments" in capsys.readouterr().out
