@@ -74,6 +74,13 @@ class Engine:
     logs: DataFrame | None = None
     spans: DataFrame | None = None
     metrics: DataFrame | None = None
+    log_streams: DataFrame | None = None  # of tables.streams: label discovery reads these instead of the records
+    metric_streams: DataFrame | None = None
+
+    def _discovered(self, kind: str, start: int | None, end: int | None, *args) -> tuple:
+        """What a discovery function takes: the streams of a range, or the records and the range."""
+        streams, records = (self.log_streams, self.logs) if kind == "log" else (self.metric_streams, self.metrics)
+        return (records, *args, start, end) if streams is None else (discovery.active(streams, start, end), *args)
 
     # logs
     def query_logs(self, text: str, start: int | None = None, end: int | None = None, *, limit: int | None = None, direction: str = "backward") -> DataFrame:
@@ -92,13 +99,13 @@ class Engine:
         return logs.run_pipeline(records, logql.parse(text)).select("timestamp_nanos", "stream", "body")
 
     def log_labels(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        return discovery.label_names(self.logs, start, end)
+        return discovery.label_names(*self._discovered("log", start, end))
 
     def log_label_values(self, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
-        return discovery.label_values(self.logs, name, start, end)
+        return discovery.label_values(*self._discovered("log", start, end, name))
 
     def log_series(self, selectors: list[str] = (), start: int | None = None, end: int | None = None) -> DataFrame:
-        return discovery.series(self.logs, selectors, start, end)
+        return discovery.series(*self._discovered("log", start, end, selectors))
 
     # metrics
     def query_metrics(self, text: str, at: int | None = None) -> DataFrame:
@@ -120,10 +127,10 @@ class Engine:
         return {"status": "success", "data": {"resultType": "matrix", "result": rows}}
 
     def metric_labels(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        return discovery.label_names(self.metrics, start, end, column="labels")
+        return discovery.label_names(*self._discovered("metric", start, end), column="labels")
 
     def metric_label_values(self, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
-        return discovery.label_values(self.metrics, name, start, end, column="labels")
+        return discovery.label_values(*self._discovered("metric", start, end, name), column="labels")
 
     def metric_series(self, selectors: list[str] = (), start: int | None = None, end: int | None = None) -> DataFrame:
         """Selectors may begin with a metric's name."""
@@ -133,7 +140,7 @@ class Engine:
             if not isinstance(node, promql.Selector):
                 raise BadRequest("match[] takes selectors")
             own.append("{" + ",".join(f'{m.name}{m.op}"{m.value.replace(chr(92), chr(92) * 2).replace(chr(34), chr(92) + chr(34))}"' for m in node.matchers) + "}")
-        return discovery.series(self.metrics, own, start, end, column="labels")
+        return discovery.series(*self._discovered("metric", start, end, own), column="labels")
 
     # traces
     def search_traces(self, text: str = "", start: int | None = None, end: int | None = None, *, limit: int | None = None, min_duration: str | None = None, max_duration: str | None = None) -> DataFrame:

@@ -9,6 +9,25 @@ DEFAULT_MAX_SERIES, DEFAULT_PER_APP = 100_000, 20_000
 GLOBAL, PER_APP = "limits.max_series", "limits.max_series_per_app"
 
 
+SALTS = 64
+
+
+def _app_full(new: DataFrame, cap: int) -> DataFrame:
+    """Adds ``app_full``: whether an app's cap was spent before a series came.
+
+    An app's first series up to the cap are found in two steps, over parts of the app and then over
+    what is left of these, at most ``SALTS`` times the cap, so no task ranks all series of an app.
+    """
+    order = ["first_seq", "series_key"]
+    salted = Window.partitionBy("app", F.pmod(F.xxhash64("series_key"), F.lit(SALTS))).orderBy(*order)
+    first = new.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= cap)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("app").orderBy(*order))).where(F.col("held") + F.col("rank") <= cap)
+    inside = first.groupBy("app").agg(F.max(F.struct(*order)).alias("last_in"), F.count("*").alias("n_in"))
+    new = new.join(inside, "app", "left")
+    spent = F.col("held") + F.coalesce("n_in", F.lit(0)) >= cap
+    return new.withColumn("app_full", spent & (F.col("last_in").isNull() | (F.struct(*order) > F.col("last_in"))))
+
+
 def admit(arrivals: DataFrame, known: DataFrame | None = None, *, max_series: int = DEFAULT_MAX_SERIES, max_series_per_app: int = DEFAULT_PER_APP) -> DataFrame:
     """(app, series_key, first_seq, reason) of each new series; reason is null for admitted ones.
 
@@ -28,8 +47,7 @@ def admit(arrivals: DataFrame, known: DataFrame | None = None, *, max_series: in
         new = new.join(per_app, "app", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     else:
         new = new.withColumn("held", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("app").orderBy("first_seq", "series_key"))
-    new = new.withColumn("app_full", (F.col("held") + rank > max_series_per_app) if max_series_per_app else F.lit(False))
+    new = new.withColumn("app_full", F.lit(False)) if not max_series_per_app else _app_full(new, max_series_per_app)
     if not max_series:
         return new.select("app", "series_key", "first_seq", F.when(F.col("app_full"), PER_APP).alias("reason"))
     room = max(0, max_series - known_total)

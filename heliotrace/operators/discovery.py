@@ -1,6 +1,8 @@
-"""Label names, label values and series. Exact for each record in the range.
+"""Label names, label values and series.
 
-At scale these read the small table of streams (:func:`streams`), not the records.
+Over records they are exact for each record in the range. Over the small table of streams, which
+stored tables keep beside their files (:func:`active` of ``tables.streams``), no record is read, and a
+label set counts in a range that its first and last time of a day and batch overlap.
 """
 
 from __future__ import annotations
@@ -21,6 +23,12 @@ def streams(df: DataFrame, column: str = "stream", time: str = "timestamp_nanos"
     return df.groupBy(S.label_key(F.col(column)).alias("stream_key")).agg(F.first(column).alias(column), F.min(time).alias("first_nanos"), F.max(time).alias("last_nanos"), F.count("*").alias("records"))
 
 
+def active(streams_: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The streams with records around a time range; label discovery over these needs no times."""
+    df = streams_ if start is None else streams_.where(F.col("last_nanos") >= start)
+    return df if end is None else df.where(F.col("first_nanos") <= end)
+
+
 def label_names(df: DataFrame, start: int | None = None, end: int | None = None, *, column: str = "stream", time: str = "timestamp_nanos") -> DataFrame:
     return in_range(df, start, end, time).select(F.explode(F.map_keys(column)).alias("name")).distinct()
 

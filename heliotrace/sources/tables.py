@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliotrace.functions import semantics as S
 from heliotrace.schema import LOGS, METRICS, SPANS
 
-BATCH = "ingest_batch"
+BATCH, STREAMS = "ingest_batch", ".streams"
 DAY = 86_400 * 10**9
 LAYOUT = {  # signal -> time column, sort order inside files, columns with Bloom filters, schema
     "logs": ("timestamp_nanos", ("app", "timestamp_nanos", "seq"), ("trace_id",), LOGS),
@@ -29,7 +30,7 @@ def hoisted(df: DataFrame, signal: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, signal: str, *, compression: str = "zstd", batch: str | None = None) -> None:
-    """One commit of records; rows of a day are range-sorted inside each file. A batch written again replaces itself."""
+    """One commit of records and of their label sets; rows of a day are range-sorted inside each file. A batch written again replaces itself."""
     _, order, bloom, _ = LAYOUT[signal]
     rows = hoisted(df, signal).withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
     writer = rows.repartition("signal_day", "app").sortWithinPartitions("signal_day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
@@ -37,6 +38,15 @@ def append(df: DataFrame, path: str, signal: str, *, compression: str = "zstd",
         if column in df.columns or column == "name":
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.partitionBy("signal_day", BATCH).parquet(path)
+    labels, time = "labels" if signal == "metrics" else "stream", LAYOUT[signal][0]
+    by_stream = rows.groupBy("signal_day", BATCH, S.label_key(F.col(labels)).alias("stream_key")).agg(F.first(labels).alias(labels), F.min(time).alias("first_nanos"), F.max(time).alias("last_nanos"), F.count("*").alias("records"))
+    by_stream.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("signal_day", BATCH).parquet(f"{path}{STREAMS}")
+
+
+def streams(spark: SparkSession, path: str, signal: str) -> DataFrame:
+    """Label sets of each day and batch with their first and last time and number of records: what label discovery reads instead of the records."""
+    labels = "labels" if signal == "metrics" else "stream"
+    return spark.read.schema(f"stream_key string, {labels} map<string,string>, first_nanos bigint, last_nanos bigint, records bigint, signal_day date, {BATCH} string").parquet(f"{path}{STREAMS}").drop(BATCH)
 
 
 def _stored(spark: SparkSession, path: str, signal: str) -> DataFrame:

@@ -99,3 +99,14 @@ def test_number_text():
 
 def test_names():
     assert [S.sanitize_name(n) for n in ("a.b", "9x", "", "é-", "ok_1")] == ["a_b", "_x", "_", "__", "ok_1"]
+
+
+@pytest.mark.parametrize("pattern", ["a*+b", "a++", "a?+", "x{2}+", "x{2,}+", "(?>a)b", r"a\Z", r"\Ga", r"\R", r"\\++"])
+def test_java_only_patterns_are_refused(pattern):
+    with pytest.raises(BadRequest):
+        S.java_regex(pattern)
+
+
+@pytest.mark.parametrize("pattern", ["[*+]+", r"a\++", r"a\*+", r"[a\]*+]+x", "a+?", "(a+)+", r"\[a+\]+", "[[:alpha:]+]+", "[]*+]+", r"\\+"])
+def test_plain_patterns_are_not(pattern):
+    assert S.java_regex(pattern)

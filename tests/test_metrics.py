@@ -100,3 +100,12 @@ def test_plan_reads_once_and_prunes(spark):
     df = spark.range(10).select((F.col("id") * S).alias("timestamp_nanos"), F.col("id").alias("seq"), F.create_map(F.lit("__name__"), F.lit("x")).alias("labels"), F.lit(1.0).alias("value"))
     plan = metrics.instant(df, "sum(x)", 5 * S)._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "Join" not in plan
+
+
+def test_first_metric_by_name_matches(spark):
+    """Two metrics have equal labels once their names are gone: a right side matches with the first by name, not with the least value."""
+    rows = [(T0, 0, {"__name__": "a", "x": "1"}, 10.0), (T0, 1, {"__name__": "b", "x": "1"}, 3.0)]
+    df = spark.createDataFrame(rows, "timestamp_nanos bigint, seq bigint, labels map<string,string>, value double")
+    values = lambda text: sorted(r.value for r in metrics.instant(df, text, T0).collect())
+    assert values('a - {x="1"}') == [0.0] and values('b - {x="1"}') == [-7.0] and values('{x="1"} - {x="1"}') == [-7.0, 0.0]
+    assert values('c or {x="1"}') == [10.0] and values('{x="1"} or a') == [3.0, 10.0]

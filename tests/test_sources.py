@@ -313,3 +313,20 @@ def test_own_figures_and_command_line(spark, tmp_path, capsys):
     assert tables.read(spark, str(tmp_path / "new" / "logs"), "logs").count() == 20
     assert shell.main(["--data", str(tmp_path), "logs", "{app="]) == 1
     assert shell.main(["--data", str(tmp_path), "figures"]) == 0 and "heliotrace_segments" in capsys.readouterr().out
+
+
+def test_label_discovery_reads_streams_only(spark, tmp_path):
+    from heliotrace.engine import Engine
+
+    path = str(tmp_path / "logs")
+    tables.append(_log_table(spark, 100), path, "logs")
+    own, streams = Engine(spark, tables.read(spark, path, "logs")), tables.streams(spark, path, "logs")
+    small = Engine(spark, own.logs, log_streams=streams)
+    names = lambda df: sorted(r[0] for r in df.collect())
+    day = T * 10**9 + 30 * 3_600 * 10**9
+    for args in ((), (day, day + 10**9)):
+        assert names(small.log_labels(*args)) == names(own.log_labels(*args)) == ["app", "level"]
+        assert set(names(small.log_label_values("app", *args))) >= set(names(own.log_label_values("app", *args)))
+    assert names(small.log_label_values("app")) == ["a0", "a1"] and small.log_series(['{app="a1"}']).count() == 1
+    assert all(".streams" in f for f in small.log_labels().inputFiles())
+    assert streams.agg(F.sum("records")).first()[0] == 100
