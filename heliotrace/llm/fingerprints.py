@@ -15,6 +15,8 @@ and the text are not read, so names cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from heliotrace.llm.common import estimated_bytes, shards_for, store
 
 #: Buckets whose keys are broadcast to find their rows; beyond, the rows are shuffled to the keys.
 MAX_BROADCAST_KEYS = 500_000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+MAX_RANGES = 100_000  # of a GB each at 100 TB
 
 
 def canonical(text: Column) -> Column:
@@ -32,7 +35,8 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(canon: Column) -> Column:
-    return F.struct(F.xxhash64(canon).alias("a"), F.xxhash64(canon, F.lit(1)).alias("b"))
+    # the salt comes first: arguments are chained, so a salt behind the text would only rehash the first half
+    return F.struct(F.xxhash64(canon).alias("a"), F.xxhash64(F.lit(1), canon).alias("b"))
 
 
 def _hex(h: Column) -> Column:
@@ -74,12 +78,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _range_bounds(docs: DataFrame, n: int) -> list[int]:
     """At most n - 1 ids that part the table into ranges of about as many rows each."""
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("p")).first().p if n > 1 else None
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("p")).first().p if n > 1 else None
     return sorted(set(found or []))
 
 
 def _range_of(id_: Column, bounds: list[int]) -> Column:
-    """Number of bounds below an id, by binary search; null ids are in range 0."""
+    """Number of bounds below an id, by binary search; null ids are in range 0. The bounds are one folded constant."""
     if not bounds:
         return F.lit(0)
     steps, top = [], 1
@@ -88,28 +92,27 @@ def _range_of(id_: Column, bounds: list[int]) -> Column:
     while top > 1:
         top //= 2
         steps.append(top)
-    table = F.lit(bounds)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     below = F.aggregate(F.lit(steps), F.lit(0), lambda acc, s: acc + F.when(F.coalesce(F.get(table, acc + s - 1) < id_, F.lit(False)), s).otherwise(0))
     return F.coalesce(below, F.lit(0))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row's ``columns`` and, as next_..., those of the row with the next id (of the first, behind the last).
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Each row's ``columns``, which ``derive`` makes, and, as next_..., those of the row with the next id (of the first, behind the last).
 
-    One shuffle of the texts, by ranges of ids. Each range also gets a copy of the first row of the
-    next one that has rows, so no range needs another and no task holds more than a range.
+    One shuffle of the texts, by ranges of ids: of ``RANGE_BYTES``, or larger ones beyond ``MAX_RANGES``.
+    Each range also gets a copy of the first row of the next one that has rows, found by a small join,
+    so no range needs another and no task holds more than a range.
     """
-    bounds = _range_bounds(docs, shards_for(estimated_bytes(docs, "text"), RANGE_BYTES, 1))
-    ranged = docs.withColumn("part", _range_of(F.col("doc_id"), bounds)).withColumn("copy", F.lit(0))
-    firsts = sorted((r.part, r.id) for r in ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"))).alias("m")).select("part", "m.id").collect())
-    if not firsts:
-        return ranged.select("doc_id", *columns, *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = {part: firsts[i - 1][0] for i, (part, _) in enumerate(firsts)}
-    ids = [i for _, i in firsts if i is not None]
-    heads = ranged.where(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(firsts) else F.lit(False)))
-    heads = heads.groupBy("part", "doc_id").agg(F.min(F.struct(*[F.col(c) for c in columns])).alias("x"))
-    target = F.element_at(F.create_map(*[F.lit(v) for pair in before.items() for v in pair]), F.col("part"))
-    heads = heads.select("doc_id", "x.*", target.alias("part"), F.lit(1).alias("copy"))
+    bounds = _range_bounds(docs, min(MAX_RANGES, shards_for(estimated_bytes(docs, "text"), RANGE_BYTES, 1)))
+    ranged = derive(docs).withColumn("part", _range_of(F.col("doc_id"), bounds)).withColumn("copy", F.lit(0))
+    firsts = docs.select("doc_id", _range_of(F.col("doc_id"), bounds).alias("part")).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"))).alias("m"))
+    order = Window.orderBy("part")  # a row for each range, MAX_RANGES at most
+    firsts = firsts.select("m.id", "part", F.lag("part").over(order).alias("before"), F.max("part").over(Window.partitionBy(F.lit(0))).alias("last"))
+    firsts = store(firsts.select(F.col("id").alias("first_id"), F.coalesce("before", "last").alias("target")), "range-heads").read()
+    heads = derive(docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id"))))
+    heads = heads.groupBy("target", "doc_id").agg(F.min(F.struct(*[F.col(c) for c in columns])).alias("x"))
+    heads = heads.select("doc_id", "x.*", F.col("target").alias("part"), F.lit(1).alias("copy"))
     both = ranged.select("doc_id", *columns, "part", "copy").unionByName(heads)
     w = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), *columns)
     return both.select("doc_id", *columns, "copy", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns if c != "sha")).where("copy = 0")
@@ -122,8 +125,8 @@ def _edited(text: Column, following: Column) -> Column:
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", wide_hash(F.col("canon")).alias("h"), F.sha2("canon", 256).alias("sha"))
-    pairs = with_next(own, ["text", "h", "sha"]).select("doc_id", F.length("text").cast("long").alias("n_chars"), "h", "next_h", "sha", _edited(F.col("text"), F.col("next_text")).alias("edited"))
+    digests = lambda df: df.withColumn("canon", canonical(F.col("text"))).withColumn("h", wide_hash(F.col("canon"))).withColumn("sha", F.sha2("canon", 256)).drop("canon")
+    pairs = with_next(docs, ["text", "h", "sha"], digests).select("doc_id", F.length("text").cast("long").alias("n_chars"), "h", "next_h", "sha", _edited(F.col("text"), F.col("next_text")).alias("edited"))
     pairs = pairs.select("doc_id", "n_chars", "h", "next_h", "sha", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("c"))
     small = store(pairs.select("doc_id", "n_chars", "h", "next_h", "sha", "edited_sha256", wide_hash(F.col("c")).alias("eh"), F.sha2("c", 256).alias("edited_canon_sha")), "fingerprints").read()
 
