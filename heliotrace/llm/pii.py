@@ -12,7 +12,8 @@ so a person named in full keeps the family name where only a title and that name
 
 Collisions are checked over the whole corpus: no two entities of a type share a surrogate and no
 surrogate is an entity that occurs; for persons this holds for family names, and for given names
-of one gender inside a family. Names drawn again get longer, so that they do not run out. Entities that fail (all but the least of those that share)
+of one gender inside a family. Names, addresses and secrets drawn again get longer, and octets get
+more digits, so that surrogates do not run out. Entities that fail (all but the least of those that share)
 are drawn again with a higher attempt until none is left. Only those need a lookup; the others'
 surrogates are computed in place.
 
@@ -30,21 +31,24 @@ from heliotrace.llm.common import store
 
 TITLES = {  # fixed values: title -> gender
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f", "Herr": "m", "Frau": "f", "Monsieur": "m",
-    "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Signor": "m", "Signora": "f", "господин": "m", "госпожа": "f",
+    "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Signor": "m", "Signora": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
 GIVEN = {  # fixed values: names of one gender and script
     ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nils", "Oscar", "Paul"],
     ("f", "latin"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"],
+    ("m", "greek"): ["Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θωμάς", "Κώστας", "Λουκάς", "Μάριος", "Νίκος", "Πέτρος", "Σπύρος", "Στέλιος", "Τάσος", "Φώτης", "Χρήστος"],
+    ("f", "greek"): ["Άννα", "Βάσω", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Ξένια", "Όλγα", "Ρένα", "Σοφία", "Χριστίνα"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан", "Юрий"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Клара", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Софья", "Юлия"],
 }
 SYLLABLES = {  # fixed values: family names are built of three
     "latin": ["bal", "cor", "den", "fal", "gar", "hol", "kin", "lan", "mar", "nor", "pel", "rad", "sol", "tor", "ver", "wil"],
+    "greek": ["βαλ", "γαρ", "δελ", "ζαν", "καρ", "λεν", "μαν", "νικ", "παλ", "ραν", "σαρ", "τολ", "φιλ", "χαρ", "ψαν", "δημ"],
     "cyrillic": ["бал", "вор", "ган", "дем", "жел", "зар", "кол", "лев", "мар", "нов", "пол", "рад", "сол", "тор", "фед", "шел"],
 }
 
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
-_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ", "a-zß-öø-ÿа-яёα-ωά-ώ"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9\-]{0,62}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-@])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[0-9]{11,28}(?![A-Za-z0-9])",
@@ -58,6 +62,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HINT = rf"[0-9@]|A(?:KI|SI)A|(?:{_TITLE})\.? "  # every pattern needs one of these
+ENTITIES_PER_TASK = 500
 SECRET_HEAD = r"\A[^=:]*[=:] *[\"']?"
 
 
@@ -128,11 +133,13 @@ def _let(value: Column, f) -> Column:
 
 def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
     """The replacement of an entity other than a name, in the entity's own spelling."""
-    return _let(canonical_of(kind, entity), lambda canon: _let(_stream(key, kind, canon, attempt), lambda stream: _in_place(kind, entity, canon, stream)))
+    return _let(canonical_of(kind, entity), lambda canon: _let(_stream(key, kind, canon, attempt), lambda stream: _in_place(kind, entity, canon, stream, attempt)))
 
 
-def _in_place(kind: Column, entity: Column, canon: Column, stream: Column) -> Column:
+def _in_place(kind: Column, entity: Column, canon: Column, stream: Column, attempt: Column) -> Column:
+    """Higher attempts draw from more: addresses and secrets get longer, octets get more digits."""
     digits = _digits(entity)
+    longer = F.substring(stream, F.lit(201), F.least(F.lit(16), F.floor(attempt / 4).cast("int")))
     drawn = F.array_join(F.transform(F.split(digits, ""), lambda c, i: _draw(stream, i, 10).cast("string")), "")
     # phone: the country code stays; card: the network's digit stays and the last digit makes the number valid
     country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"\A\+([0-9]{1,3})", 1))).otherwise(0)
@@ -141,7 +148,8 @@ def _in_place(kind: Column, entity: Column, canon: Column, stream: Column) -> Co
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     card = _refill(entity, F.concat(body, check.cast("string")))
     ssn = _refill(entity, F.concat((100 + _draw(stream, F.lit(100), 200) + _draw(stream, F.lit(101), 200)).cast("string"), F.substring(drawn, 4, 6)))
-    octet = lambda o, i: F.when(F.length(o) == 3, 100 + _draw(stream, i, 156)).when(F.length(o) == 2, 10 + _draw(stream, i, 90)).otherwise(1 + _draw(stream, i, 9)).cast("string")
+    places = lambda o: F.length(o) + F.floor(attempt / 4).cast("int")
+    octet = lambda o, i: F.when(places(o) >= 3, 100 + _draw(stream, i, 156)).when(places(o) == 2, 10 + _draw(stream, i, 90)).otherwise(1 + _draw(stream, i, 9)).cast("string")
     ip = F.array_join(F.transform(F.split(entity, r"\."), octet), ".")
     domain = F.substring_index(entity, "@", -1)
     name, top = F.substring_index(entity, "@", 1), F.substring_index(domain, ".", -1)
@@ -151,9 +159,9 @@ def _in_place(kind: Column, entity: Column, canon: Column, stream: Column) -> Co
     parts = F.split(mapped, r"\.")
     local = F.array_join(F.slice(parts, F.size(host) + 1, F.greatest(F.lit(1), F.size(parts) - F.size(host))), ".")
     safe = F.when(F.lower(top).isin("com", "net", "org"), F.concat(F.lit("example."), top)).otherwise(F.concat(F.lit("example."), top))
-    email = F.concat(local, F.lit("@"), F.when(F.size(host) > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), F.size(host)), "."), F.lit("."))).otherwise(F.lit("")), safe)
+    email = F.concat(local, longer, F.lit("@"), F.when(F.size(host) > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), F.size(host)), "."), F.lit("."))).otherwise(F.lit("")), safe)
     head = F.regexp_extract(entity, SECRET_HEAD, 0)
-    secret = F.concat(head, _like(canon, stream, hex_only=canon.rlike(r"\A[0-9a-f]+\z")))
+    secret = F.concat(head, _like(canon, stream, hex_only=canon.rlike(r"\A[0-9a-f]+\z")), longer)
     access = F.concat(F.substring(entity, 1, 4), F.substring(_like(entity, stream), 5, 64))
     iban = _refill(entity, F.concat(F.substring(canon, 1, 2), F.substring(_like(canon, stream), 3, 64)), "[A-Z0-9]")
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "access_key", access).when(kind == "iban", iban)
@@ -180,7 +188,7 @@ def parts_of(kind: Column, entity: Column) -> Column:
 def name_surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
     """A family name of four syllables, or a given name behind its gender and family; higher attempts take more."""
     name = F.substring_index(entity, "|", -1)
-    script = lambda f: F.when(name.rlike("[А-яЁё]"), f("cyrillic")).otherwise(f("latin"))
+    script = lambda f: F.when(name.rlike("[А-яЁё]"), f("cyrillic")).when(name.rlike("[Α-ωΆ-ώ]"), f("greek")).otherwise(f("latin"))
     count = lambda least, step, most: F.least(F.lit(most), F.lit(least) + F.floor(attempt / step).cast("int"))
 
     def drawn(stream: Column) -> Column:
@@ -218,7 +226,8 @@ def redrawn(entities_: DataFrame, key: str, *, max_attempts: int = 64) -> DataFr
     """(kind, canon, attempt) of the entities whose first draw collides; None if there is none."""
     part = [F.col(c) for c in ("kind", "entity", "attempt")]
     drawn = lambda df: df.withColumn("to", F.when(part[0].isin("family", "given"), name_surrogate(key, *part)).otherwise(surrogate(key, *part))).withColumn("to", canonical_of(F.col("kind"), F.col("to")))
-    state = store(drawn(entities_.withColumn("attempt", F.lit(0))), "surrogates")
+    parts = max(12, entities_.count() // ENTITIES_PER_TASK)  # a digest for each entity: too much for the few tasks that its bytes would get
+    state = store(drawn(entities_.repartition(parts, "kind", "canon").withColumn("attempt", F.lit(0))), "surrogates")
     for n in range(1, max_attempts + 1):
         now = state.read()
         keepers = now.groupBy("kind", "to").agg(F.min(F.struct("attempt", "canon")).alias("keeper"), F.count("*").alias("n")).where("n > 1")

@@ -271,3 +271,22 @@ def test_redraws_keep_surrogates_apart(spark):
     out = [re.fullmatch(r"host (\S+) is (\S+)", t).groups() for t in replaced(spark, texts)]
     assert all(a == b for a, b in out)
     assert len({a for a, _ in out}) == len(addresses) and not {a for a, _ in out} & set(addresses)
+
+
+def test_surrogates_do_not_run_out(spark):
+    """Ten one-digit secrets, of which hex leaves six others; addresses of one letter; octets of one digit: by brute force, all stay apart."""
+    secrets = [f"token={i}" for i in range(10)] + [f"token={i}{j}" for i in "ab" for j in range(10)]
+    mails = [f"{c}@d{i}.com" for i in range(8) for c in "abcdefgh"]
+    octets = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
+    texts = secrets + mails + octets
+    out = replaced(spark, texts)
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert all(re.fullmatch(r"token=[0-9a-f]+", t) for t in out[: len(secrets)])
+    assert all(re.fullmatch(r"[0-9a-f]*[a-z][0-9a-f]*@example\.com", t) for t in out[len(secrets) : len(secrets) + len(mails)])
+    assert all(re.fullmatch(r"[1-9]\d{0,2}(\.[1-9]\d{0,2}){3}", t) for t in out[-len(octets) :])
+
+
+def test_greek_names(spark):
+    (out,) = replaced(spark, ["η κυρία Μαρία Παππά και ο κύριος Παππά"])
+    m = re.fullmatch(r"η κυρία (\S+) (\S+) και ο κύριος (\S+)", out)
+    assert m[1] in pii.GIVEN["f", "greek"] and m[2] == m[3] != "Παππά" and re.fullmatch("[Α-ΩΆ-Ώα-ωά-ώ]+", m[2])
