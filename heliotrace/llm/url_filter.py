@@ -5,6 +5,9 @@ the listed keys; level 2 holds the universe's false positives of level 1; level
 that level 2 wrongly holds; and so on until a level has no false positive. A key of the universe
 is listed exactly if the first level that lacks it has an even number. Only the first level
 scans the universe; later levels work on false positives, about as many as there are listed keys.
+A level has ``FILTER_BYTES`` at most: longer lists are dealt by a hash into shards with a cascade
+each, and ``PASS_SHARDS`` of them at a time are sent to the tasks, so neither driver nor tasks hold
+more than a bounded filter however long the list is.
 
 Rules are pairs of host and path. A url's candidate keys are its host's suffixes, with as many
 labels as some rule has, joined to its path's prefixes, as long as some rule's. The longest
@@ -26,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliotrace.llm.common import Stored, store
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_FILTER_BYTES = 8 << 20
+FILTER_BYTES = 8 << 20
+PASS_SHARDS = 8
 MAX_LEVELS = 60
 
 
@@ -56,7 +62,7 @@ def candidate_keys(host_: Column, path_: Column, label_counts: list[int], path_l
 
 
 def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
 @dataclass
@@ -89,8 +95,6 @@ class Level:
 
 def _empty_level(n: int, rate: float, salt: int) -> Level:
     n_bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))
-    if n_bits > MAX_FILTER_BYTES * 8:
-        raise ValueError(f"a filter of {n} keys needs {n_bits // 8} bytes; the limit is {MAX_FILTER_BYTES}")
     return Level(np.zeros(-(-n_bits // 8), np.uint8), n_bits, max(1, round(math.log2(1 / rate))), salt)
 
 
@@ -111,16 +115,27 @@ class Cascade:
         return out
 
 
+GATHERED = 16  # bit arrays that the driver gets of a level
+
+
 def _fill(level: Level, keys: DataFrame) -> None:
-    """Sets the bits of all keys: each partition sends one bit array, as large as the bounded filter."""
+    """Sets the bits of all keys: each partition makes one bit array, and these are joined in tasks before a few come to the driver."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own = Level(np.zeros_like(level.bits), level.n_bits, level.n_hashes, level.salt)
         for b in batches:
             own.add(b.column(0).to_numpy(), b.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([own.bits.tobytes()], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GATHERED], pa.int32()), pa.array([own.bits.tobytes()], pa.binary())], names=["to", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        out = np.zeros_like(level.bits)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"bits": pa.array([out.tobytes()], pa.binary())})
 
-    for row in keys.select(*_hashes(F.col("key"))).mapInArrow(bits, "bits binary").toLocalIterator():
+    for row in keys.select(*_hashes(F.col("key"))).mapInArrow(bits, "to int, bits binary").groupBy("to").applyInArrow(join, "bits binary").toLocalIterator():
         level.bits |= np.frombuffer(row.bits, np.uint8)
 
 
@@ -134,7 +149,13 @@ def _passing(level: Level, keys: DataFrame) -> DataFrame:
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """``listed`` and ``universe`` have a column ``key``; the universe may repeat keys and need not hold the listed ones."""
-    listed = listed.select("key").where("key is not null").distinct().cache()
+    tables: list[Stored] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        tables.append(store(df, "keys"))
+        return tables[-1].read()
+
+    listed = kept(listed.select("key").where("key is not null").distinct())
     universe = universe.select("key").where("key is not null")
     n_listed = listed.count()
     if not n_listed:
@@ -143,22 +164,25 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     level = _empty_level(n_listed, min(0.5, max(1e-9, n_listed * math.sqrt(0.5) / n_universe)), 0)
     _fill(level, listed)
     # False positives of the first level: about as many as listed keys. Only these meet the list in a join.
-    other = _passing(level, universe).join(listed, "key", "left_anti").cache()
+    other = kept(_passing(level, universe).join(listed, "key", "left_anti"))
     cascade, inside = Cascade([level]), listed
-    tables = [listed, other]
     while n := other.count():
         if len(cascade.levels) >= MAX_LEVELS:
             raise ValueError("two different keys share both hashes")
         level = _empty_level(n, 0.5, len(cascade.levels))
         _fill(level, other)
         cascade.levels.append(level)
-        inside, other = other, _passing(level, inside).cache()
-        tables.append(other)
+        inside, other = other, kept(_passing(level, inside))
     for t in tables:
-        t.unpersist()
+        t.drop()
     return cascade
 
 
+def shards_of(n_listed: int) -> int:
+    """Shards of a list, so that a level of the rarest false positives (1e-9) keeps within FILTER_BYTES."""
+    return max(1, math.ceil(n_listed * math.log(1e9) / math.log(2) ** 2 / 8 / FILTER_BYTES))
+
+
 def filter_urls(urls: DataFrame, id_col: str, url_col: str, rules: DataFrame) -> DataFrame:
     """(id, host, path, rule, verdict) of each row; ``rules`` has host, path and verdict (allow or block)."""
     keyed = rules.where("host is not null and path is not null and verdict in ('allow', 'block')").select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("size"), "verdict")
@@ -166,26 +190,41 @@ def filter_urls(urls: DataFrame, id_col: str, url_col: str, rules: DataFrame) ->
     split = urls.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     split = split.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted(shapes.l), sorted(shapes.s)))
     universe = split.select(F.explode("keys").alias("key"))
-    cascades = {v: build_cascade(keyed.where(F.col("verdict") == v), universe) for v in ("block", "allow")}
-    hashed = split.select("id", "host", "path", "keys", F.transform("keys", lambda k: _hashes(k)[0]).alias("h1"), F.transform("keys", lambda k: _hashes(k)[1]).alias("h2"))
+    n_shards = shards_of(keyed.count())
+    shard_of = F.pmod(F.hash(F.col("key")), F.lit(n_shards))
+    kind = urls.schema[id_col].dataType.simpleString()
+    # verdicts: for each candidate key 0, 1 if it is listed to allow, 2 if it is listed to block
+    judged = split.withColumn("verdicts", F.transform("keys", lambda k: F.lit(0).cast("tinyint")))
+    for first in range(0, n_shards, PASS_SHARDS):
+        shards = range(first, min(n_shards, first + PASS_SHARDS))
+        cascades = {(v, k): build_cascade(keyed.where((F.col("verdict") == v) & (shard_of == k)), universe.where(shard_of == k)) for v in ("block", "allow") for k in shards}
+        judged = _judged(judged, cascades, n_shards, kind)
+        if len(shards) < n_shards:
+            judged = store(judged, "judged").read()
+    number = F.coalesce(F.array_position(F.transform("verdicts", lambda v: v > 0), F.lit(True)), F.lit(0)).cast("int")
+    rule, verdict = F.get("keys", number - 1), F.get("verdicts", number - 1)
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.when(number > 0, rule).alias("rule"), F.when((number > 0) & (verdict == 2), "block").otherwise("allow").alias("verdict"))
+
+
+def _judged(rows: DataFrame, cascades: dict[tuple[str, int], Cascade], n_shards: int, kind: str) -> DataFrame:
+    """Rows with the verdicts of the keys whose shards have a cascade here."""
+    shards = sorted({k for _, k in cascades})
+    each = lambda f: F.transform("keys", f)
+    hashed = rows.select("id", "host", "path", "keys", "verdicts", each(lambda k: _hashes(k)[0]).alias("h1"), each(lambda k: _hashes(k)[1]).alias("h2"), each(lambda k: F.pmod(F.hash(k), F.lit(n_shards))).alias("shard"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(4)
-            offsets = lists.offsets.to_numpy()
-            h1, h2 = (b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
-            block, allow = (cascades[v].listed(h1, h2) for v in ("block", "allow"))
-            hit = np.flatnonzero(block | allow)
-            at = np.searchsorted(hit, offsets[:-1] - offsets[0])
-            first = hit[np.minimum(at, max(0, hit.size - 1))] if hit.size else np.zeros(b.num_rows, np.int64)
-            found = (at < hit.size) & (first < offsets[1:] - offsets[0]) if hit.size else np.zeros(b.num_rows, bool)
-            blocked = found & (block[first] if hit.size else False)
-            number = np.where(found, first - (offsets[:-1] - offsets[0]) + 1, 0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(number, pa.int32()), pa.array(blocked, pa.bool_())], names=["id", "host", "path", "keys", "number", "blocked"])
-
-    kind = urls.schema[id_col].dataType.simpleString()
-    judged = hashed.mapInArrow(judge, f"id {kind}, host string, path string, keys array<string>, number int, blocked boolean")
-    return judged.select(F.col("id").alias(id_col), "host", "path", F.when(F.col("number") > 0, F.get("keys", F.col("number") - 1)).alias("rule"), F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
+            offsets = b.column(4).offsets
+            verdicts = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int8)
+            h1, h2, shard = (b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (5, 6, 7))
+            for k in shards:
+                own = np.flatnonzero(shard == k)
+                for code, verdict in ((1, "allow"), (2, "block")):  # listed both ways blocks
+                    verdicts[own[cascades[verdict, k].listed(h1[own], h2[own])]] = code
+            offsets = pa.array(offsets.to_numpy() - offsets[0].as_py(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.ListArray.from_arrays(offsets, pa.array(verdicts, pa.int8()))], names=["id", "host", "path", "keys", "verdicts"])
+
+    return hashed.mapInArrow(judge, f"id {kind}, host string, path string, keys array<string>, verdicts array<tinyint>")
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
