@@ -22,8 +22,9 @@ EARLIEST, LATEST = 978_307_200, 4_102_444_800  # fixed values: seconds of 2001 a
 
 def unsigned(text: Column) -> Column:
     """A whole number of up to 20 digits given as number or text; malformed or negative is absent."""
-    value = F.when(text.rlike(r"\A[0-9]{1,20}\z"), text.try_cast("decimal(20,0)"))
-    return F.when(value <= F.lit(S_MAX).cast("decimal(20,0)"), value.cast("long"))
+    value = F.when(text.rlike(r"\A[0-9]{19,20}\z"), text.try_cast("decimal(20,0)"))
+    long = F.when(value <= F.lit(S_MAX).cast("decimal(20,0)"), value.cast("long"))
+    return F.when(text.rlike(r"\A[0-9]{1,18}\z"), text.try_cast("long")).otherwise(long)
 
 
 S_MAX = (1 << 63) - 1
@@ -94,7 +95,11 @@ def normalise_id(text: Column) -> Column:
 
 def rescale(time: Column) -> Column:
     """Nanoseconds from a time whose unit its size tells: s, ms, us or ns between 2001 and 2100; else absent."""
-    out = F.when((time >= EARLIEST) & (time < LATEST), time * 1_000_000_000)
-    for unit in (10**3, 10**6):
-        out = out.when((time >= F.lit(EARLIEST * unit)) & (time < F.lit(LATEST * unit)), time * (10**9 // unit))
-    return out.when((time >= F.lit(EARLIEST * 10**9)) & (time < F.lit(LATEST * 10**9)), time)
+
+    def of(t: Column) -> Column:
+        out = F.when((t >= F.lit(EARLIEST * 10**9)) & (t < F.lit(LATEST * 10**9)), t).when((t >= EARLIEST) & (t < LATEST), t * 1_000_000_000)
+        for unit in (10**3, 10**6):
+            out = out.when((t >= F.lit(EARLIEST * unit)) & (t < F.lit(LATEST * unit)), t * (10**9 // unit))
+        return out
+
+    return F.element_at(F.transform(F.array(time), of), 1)  # bound once, as a lambda's variable
