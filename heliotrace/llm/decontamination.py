@@ -5,7 +5,8 @@ positions in the segment, stored as one row with delta-coded, compressed posting
 lies in one segment. A phrase is searched in each segment from its rarest term: that term's
 positions, moved to the phrase's start, are intersected with the moved lists of the other terms
 in order of their length. Phrases with a term the segment lacks are dropped at once. A proximity
-search takes the same lists and asks for all terms within a span of words, in any order.
+search (``near_items``) takes the same lists and asks for all terms within a span of words, in any
+order.
 
 Test items are sent to the tasks in blocks of bounded size (``BLOCK_WORDS``).
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliotrace.llm.common import Stored, pack, store, unpack, without_ids
+from heliotrace.llm.common import Stored, pack, release_memory, store, unpack, without_rows
 
 SEGMENT_WORDS = 2_000_000
 BLOCK_WORDS = 1_000_000
@@ -128,8 +129,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if total >= segment_words:
                     yield close()
                     number, parts, lengths, total, ids = {}, [], [], 0, None
+                    release_memory()
         if ids is not None:
             yield close()
+        del number, parts
+        release_memory()
 
     schema = f"doc_ids array<{id_kind}>, n_words array<bigint>, terms binary, postings binary"
     return store(docs.select(id_col, text_col).mapInArrow(run, schema), "index")
@@ -181,6 +185,8 @@ def search(index: DataFrame, blocks: list, id_col: str, id_kind: str) -> DataFra
                 for at in range(0, len(ids), 10_000):
                     part = slice(at, at + 10_000)
                     yield pa.RecordBatch.from_arrays([ids.slice(at, 10_000), pa.array(lengths[part]), pa.array(hits[ends][part] - hits[ends - lengths][part]), items.slice(at, 10_000)], names=[id_col, "n_words", "n_hit", "items"])
+                del segment, hit, hits, items
+                release_memory()
 
     return index.select("doc_ids", "n_words", "terms", "postings").mapInArrow(run, f"`{id_col}` {id_kind}, n_words bigint, n_hit bigint, items array<string>")
 
@@ -202,9 +208,41 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_items: int = 1) -> DataFrame:
-    """The rows of ``docs`` with windows of fewer than ``least_items`` items; rows with a null id stay."""
-    found = contamination(docs, items, id_col, text_col)
-    return without_ids(docs, found.where(F.size("items") >= least_items).select(id_col), id_col)
+    """The rows of ``docs`` with windows of fewer than ``least_items`` items; rows are told apart by id and text, so ids may be null or repeat."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(keyed, items, "key", "text").where(F.size("items") >= least_items)
+    return without_rows(docs, found.select("key.id", "key.hash"), id_col, text_col)
+
+
+def near_items(docs: DataFrame, items: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, items): of each document the items all of whose words occur, in any order, within ``span`` words of it.
+
+    Items without words, or with more different words than the span has places, are found nowhere.
+    """
+    spark, id_kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    blocks = []
+    for block in test_windows(items, window=1 << 30):  # whole items
+        wanted = [(sorted(set(w)), owners) for w, owners in block.items() if len(set(w)) <= span]
+        blocks.append(spark.sparkContext.broadcast(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = batch.column(0)[row].values
+                segment = Segment(batch.column(1)[row].as_py(), batch.column(2)[row].as_py())
+                found: dict[int, set[str]] = {}
+                for block in blocks:
+                    for terms, owners in block.value:
+                        numbers = segment.numbers(terms)
+                        if (numbers >= 0).all():
+                            for doc in np.unique(segment.doc_of(segment.near(numbers, span))).tolist():
+                                found.setdefault(doc, set()).update(owners)
+                    if len(blocks) > 1 and hasattr(block, "_value"):
+                        del block._value
+                yield pa.RecordBatch.from_arrays([ids, pa.array([sorted(found.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))], names=[id_col, "items"])
+                release_memory()
+
+    return build_index(docs, id_col, text_col).read().select("doc_ids", "terms", "postings").mapInArrow(run, f"`{id_col}` {id_kind}, items array<string>")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert dict(zip(hashed["key"], got.tolist(), strict=True)) == {k: k.startswith("l") for k in listed + universe}
 
 
+def test_long_lists_are_dealt_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "FILTER_BYTES", 40)
+    monkeypatch.setattr(url_filter, "PASS_SHARDS", 2)
+    rng = random.Random(12)
+    hosts = [f"h{i}.org" for i in range(60)]
+    rules = [(h, f"/{rng.choice('ab')}", rng.choice(["allow", "block"])) for h in rng.sample(hosts, 30)] + [("org", "/", "block"), ("h1.org", "/a", "allow"), ("h1.org", "/a", "block")]
+    assert url_filter.shards_of(len(rules)) > 2
+    df = spark.createDataFrame([(i, f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{rng.choice('abc')}x") for i in range(300)] + [(300, None)], "page_id bigint, url string")
+    rows = url_filter.filter_urls(df, "page_id", "url", spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    urls = {r.page_id: r.url for r in df.collect()}
+    by_verdict = sorted(set(rules), key=lambda r: r[2])  # listed both ways blocks: judge() takes the last of equals
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows if r.page_id < 300) == sorted((i, *judge(u, by_verdict)) for i, u in urls.items() if i < 300)
+
+
 # decontamination --------------------------------------------------------------------------------
 
 
@@ -115,6 +129,30 @@ def test_segments_and_proximity(spark):
     assert small.count() == 3 or small.count() == 2
 
 
+def test_near_items(spark, monkeypatch):
+    rng = random.Random(13)
+    draw = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [(i, draw(rng.randint(0, 40))) for i in range(60)] + [(None, "a b c d"), (60, None)]
+    items = [(i, draw(rng.randint(1, 6))) for i in range(12)] + [(20, "zz a"), (21, ""), (22, None), (None, "a")]
+    span = 5
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = decontamination.near_items(df, spark.createDataFrame(items, "item_id bigint, text string"), span).collect()
+
+    def near(text, item):
+        own, want = (text or "").split(), set((item or "").split())
+        return bool(want) and len(want) <= span and any(want <= set(own[i : i + span]) for i in range(len(own)))
+
+    want = [(str(d), sorted(str(i) for i, item in items if i is not None and near(t, item))) for d, t in texts]
+    assert sorted((str(r.doc_id), r["items"]) for r in rows) == sorted(want)
+
+
+def test_contaminated_rows_go_by_id_and_text(spark):
+    item = "one two three four five six seven eight"
+    df = spark.createDataFrame([(None, f"x {item} y"), (None, "clean"), (1, item), (1, "clean too"), (2, None)], "doc_id bigint, text string")
+    kept = decontamination.drop_contaminated(df, spark.createDataFrame([(0, item)], "item_id bigint, text string"))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "clean too"), ("2", "None"), ("None", "clean")]
+
+
 # LM scoring -------------------------------------------------------------------------------------
 
 
@@ -133,7 +171,7 @@ def test_elias_fano():
 
 
 def lm_reference(texts, order, fits):
-    words = [re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()) + ["\0"] for _, t in texts]
+    words = [re.findall(r"[^\x20\x09-\x0d]+", (t or "").encode().lower().decode()) + ["\0"] for _, t in texts]
     held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts]
     grams, starts = Counter(), 0
     for own, h in zip(words, held, strict=True):
@@ -191,12 +229,14 @@ def test_snapshots_collapse(spark):
     rng, talks = random.Random(5), {}
     for c in range(60):
         talks[c] = [(rng.choice(["user", "assistant"]), rng.choice("xyz")) for _ in range(rng.randint(1, 4))]
-    rows = [(c, t, r, x, 0) for c, own in talks.items() for t, (r, x) in enumerate(own)] + [(None, 0, "user", "x", 0), (70, 0, None, None, 0), (71, 5, "user", "", 0), (71, 5, "user", "", 0)]
+    rows = [(c, t, r, x, 0) for c, own in talks.items() for t, (r, x) in enumerate(own)] + [(None, 0, "user", "x", 0)] * 2 + [(None, 1, None, None, 0), (70, 0, None, None, 0), (71, 5, "user", "", 0), (71, 5, "user", "", 0)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, position int")
     whole = {**{c: tuple(own) for c, own in talks.items()}, 70: (("user", ""),), 71: (("user", ""), ("user", ""))}
     kept = {c for c, own in whole.items() if not any((len(o) > len(own) and o[: len(own)] == own) or (o == own and d < c) for d, o in whole.items() if d != c)}
     out = chat_format.format_chats(df).collect()
     assert {r.conv_id for r in out} == kept | {None}
+    alone = ["<|im_start|>user\n<|im_end|>\n", "<|im_start|>user\nx<|im_end|>\n", "<|im_start|>user\nx<|im_end|>\n"]
+    assert sorted(r.text for r in out if r.conv_id is None) == alone and {r.n_turns for r in out if r.conv_id is None} == {1}
     one = next(r for r in out if r.conv_id == 71)
     assert one.text == "<|im_start|>user\n<|im_end|>\n" * 2 and one.n_turns == 2
     assert chat_format.format_chats(df.limit(0)).count() == 0
