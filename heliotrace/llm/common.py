@@ -24,10 +24,12 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where driver and tasks share one machine may it be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="heliotrace-"))
     return _FALLBACK[0]
@@ -73,7 +75,7 @@ class StoredBuckets(Stored):
     """A stored table whose rows are bucketed by a column, so that joins by it do not move them."""
 
     def __init__(self, df: DataFrame, name: str, by: str, n: int):
-        self.spark = df.sparkSession
+        self.spark, self.n = df.sparkSession, n
         self.table = f"{name}_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/tables/{self.table}"
         df.write.format("parquet").bucketBy(n, by).option("path", self.path).option("compression", "zstd").saveAsTable(self.table)
@@ -92,7 +94,11 @@ def store_buckets(df: DataFrame, name: str, by: str, n: int) -> StoredBuckets:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs: it does so when the driver's garbage is collected."""
+    """Lets Spark remove the shuffle files of finished jobs: it does so when the driver's garbage is collected.
+
+    The last execution stays referenced by the event listeners until another one ends, so a small one comes first.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark._jvm.System.gc()
 
@@ -209,13 +215,3 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     gone = store(gone.toDF("__gone", "__hash").distinct(), "gone").read()
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay.
-
-    Up to MAX_BROADCAST_IDS ids are broadcast; more are joined by a shuffle.
-    """
-    gone = store(ids.toDF("__gone").where("__gone is not null").distinct(), "ids").read()
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -22,9 +22,10 @@ return the quantised P2, c(vw), and whether the bigram occurs again in the corpu
 two bigrams do not both occur again occurs once, so its count is known in its block; all others go
 to the shards of the third order with their documents, and sums per document return.
 
-Words are known by 64-bit hashes, contexts by 48 bits within their shard and successors by 32 (third
-order: 24) bits within their context, so two successors of a context of k are taken for one about
-once in 2^33 / k^2 (2^25 / k^2) contexts. Defined results: a null text counts as empty: one token,
+Words are known by 64-bit hashes, contexts by 40 bits within their shard, and successors by 32 (third
+order: 24) bits within their context, 8 fewer where it has few tokens (``FEW``), so two successors of a
+context of k are taken for one about once in 2^33 / k^2 (2^25 / k^2), or 2^25 / k^2 (2^17 / k^2)
+contexts. Defined results: a null text counts as empty: one token,
 its end; rows with a null id are scored but not learned from (held_out is null); repeated rows count
 and are scored each; without training tokens every word is unknown; an empty table gives an empty
 table; columns other than the id and the text are not read, so names cannot clash.
@@ -47,7 +48,8 @@ BLOCK_TOKENS = 750_000
 SHARD_BYTES = 2 << 20
 SPLIT = 1_000_000
 CODE_BITS = {2: 32, 3: 24}
-CONTEXT_SHIFT = np.uint64(16)
+CONTEXT_SHIFT = np.uint64(24)
+FEW = {2: 4096, 3: 256}  # contexts of fewer tokens have few successors: 8 bits fewer tell these apart
 END, START = np.uint64(0x9D8B7C6A5F4E3D21), np.uint64(0x123456789ABCDEF1)  # marks; words have hashes of their bytes
 
 
@@ -208,9 +210,11 @@ class Trie:
         return out
 
 
-def _code(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+def _code(context: np.ndarray, word: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
+    """Codes of words within contexts of some count; low bits that are not needed are 0, which compresses."""
     with np.errstate(over="ignore"):
-        return _mix(word ^ (context * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)
+        code = _mix(word ^ (context * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - CODE_BITS[order])
+    return np.where(count < FEW[order], code & ~np.uint64(0xFF), code)
 
 
 class _Scale:
@@ -309,6 +313,12 @@ def _word_counts(blocks: DataFrame, n_shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(add, "shard int, block bigint, payload binary, stats array<double>")
 
 
+def _steps(contexts: np.ndarray) -> np.ndarray:
+    """Contexts of a row as differences; they ascend but for the start mark, and differences may wrap."""
+    with np.errstate(over="ignore"):
+        return np.diff(contexts >> CONTEXT_SHIFT, prepend=np.uint64(0))
+
+
 class _Grouped:
     """A block's n-grams, each once, in the order of the shards of their contexts."""
 
@@ -369,7 +379,8 @@ class _Tokens:
         before[self.first] = hashes.size
         self.names = np.append(hashes, START)
         splits = np.append(1 + self.counts // SPLIT, 1 + n // (64 * SPLIT))
-        self.bigrams = _Grouped(self.names, splits, before, _code(self.names[before], hashes[self.tokens], CODE_BITS[2]), CODE_BITS[2], n_shards)
+        count = np.append(self.counts, np.iinfo(np.int64).max)[before]
+        self.bigrams = _Grouped(self.names, splits, before, _code(self.names[before], hashes[self.tokens], count, 2), CODE_BITS[2], n_shards)
 
     def log_p1(self, n: int, v: int) -> np.ndarray:
         return np.log10((self.counts + 0.5) / (n + 0.5 * (v + 1)))
@@ -384,9 +395,9 @@ def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
             for block, held, payload, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "payload", "counts")), strict=True):
                 own = _Tokens(payload, held, counts, n_shards, n)
                 g = own.bigrams
-                lower = scale.codes(own.log_p1(n, v))[own.tokens[g.order[g.starts[:-1]]]]
+                lower = (scale.codes(own.log_p1(n, v)) & np.uint16(0xFFFC) | np.uint16(2))[own.tokens[g.order[g.starts[:-1]]]]  # 10 bits will do
                 trained, of_context = g.sums(own.learn), np.append(own.counts, -1)
-                rows = [(k, pack(own.names[contexts] >> CONTEXT_SHIFT, of_context[contexts], _small(sizes), g.code[cut].astype(np.uint32), lower[cut], _small(trained[cut]), _small(g.times[cut]))) for k, cut, contexts, sizes in g.cuts()]
+                rows = [(k, pack(_steps(own.names[contexts]), of_context[contexts], _small(sizes), g.code[cut].astype(np.uint32), lower[cut], _small(trained[cut]), _small(g.times[cut]))) for k, cut, contexts, sizes in g.cuts()]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["shard", "block", "payload"])
                 del own, g, rows
                 release_memory()
@@ -396,7 +407,7 @@ def _bigrams(blocks: DataFrame, n_shards: int, n: int, v: int) -> DataFrame:
 
 def _order(own: list[list[np.ndarray]], scale: _Scale, a: float, b: float, bits: int, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all n-grams of a shard's rows, one behind the other: log10 P by the shard's trie, their training and their whole count."""
-    contexts, inverse = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+    contexts, inverse = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in own]), return_inverse=True)
     count = np.zeros(contexts.size, np.int64)
     count[inverse] = np.concatenate([x[1] for x in own])
     count[count < 0] = n_texts
@@ -478,11 +489,15 @@ def _trigrams(blocks: DataFrame, order: int, n_shards: int, n_shards_3: int, n:
                     one = g.order[g.starts[used]]  # a token that ends each context
                     with np.errstate(over="ignore"):
                         names = _mix(own.names[own.tokens[one]] + _mix(own.names[g.context[used]]) * np.uint64(0x9E3779B97F4A7C15))
-                    h = _Grouped(names, 1 + count[used] // SPLIT, which, _code(names[which], own.names[own.tokens[at]], CODE_BITS[3]), CODE_BITS[3], n_shards_3)
+                    by_name = np.argsort(names)
+                    place = np.empty_like(by_name)
+                    place[by_name] = np.arange(by_name.size)
+                    names, of_context, which = names[by_name], count[used][by_name], place[which]
+                    h = _Grouped(names, 1 + of_context // SPLIT, which, _code(names[which], own.names[own.tokens[at]], of_context[which], 3), CODE_BITS[3], n_shards_3)
                     lower, trained, docs = codes[of_token[at]][h.order[h.starts[:-1]]], h.sums(own.learn[at]), own.doc[at][h.order]
                     log_p[at] = 0.0
                     for k, cut, contexts, sizes in h.cuts():
-                        rows.append((k, pack(names[contexts] >> CONTEXT_SHIFT, _small(count[used][contexts]), _small(sizes), h.code[cut].astype(np.uint32), lower[cut], _small(trained[cut]), _small(h.times[cut]), _small(docs[h.starts[cut.start] : h.starts[cut.stop]]), np.array([size]))))
+                        rows.append((k, pack(_steps(names[contexts]), _small(of_context[contexts]), _small(sizes), h.code[cut].astype(np.uint32), lower[cut], _small(trained[cut]), _small(h.times[cut]), _small(docs[h.starts[cut.start] : h.starts[cut.stop]]), np.array([size]))))
                     del h, names, docs
                 rows.append((-1 - block % n_shards, pack(own.lengths, known.astype(np.int64), base, np.bincount(own.doc, log_p, size))))
                 nothing = [None] * (len(rows) - 1)
@@ -493,7 +508,7 @@ def _trigrams(blocks: DataFrame, order: int, n_shards: int, n_shards_3: int, n:
     return blocks.select("block", "doc_id", "held", "payload", "counts", "answers").mapInArrow(run, f"shard int, block bigint, payload binary, doc_id {kind}, held array<boolean>")
 
 
-TOGETHER = 8  # shards whose sums return together
+TOGETHER = 4  # shards whose sums return together
 
 
 def _score_shards(trigrams: DataFrame, n: int, v: int, a: float, b: float) -> DataFrame:
@@ -564,7 +579,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     n_texts = own.where("held = false").count()
     counts = counted.read().where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("counts"))
     n_shards, n_shards_3 = shards_for(size, SHARD_BYTES), shards_for(size, 2 * SHARD_BYTES)
-    answered = store(_answers(_bigrams(blocks.read().join(counts, "block"), n_shards, n, v), n, v, n_texts, *fits[2]), "bigrams")
+    answered = _answers(_bigrams(blocks.read().join(counts, "block"), n_shards, n, v), n, v, n_texts, *fits[2])
+    answered = store_buckets(answered.repartition(blocks.n, "block"), "lm_answers", "block", blocks.n)  # a file for each bucket
     collect_garbage(docs.sparkSession)
     answers = answered.read().groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("answers"))
     joined = blocks.read().join(counts, "block").join(answers, "block")
