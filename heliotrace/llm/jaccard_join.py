@@ -61,7 +61,7 @@ MAX_BROADCAST_ROWS = 200_000
 class Limits:
     """Sizes of units of work; results do not depend on them."""
 
-    block_shingles: int = 1_000_000
+    block_shingles: int = 600_000
     combine: int = 5  # logarithm of the sets from which tokens are combined
     split: int = 4_096
     cluster_block: int = 512

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliotrace.llm.common import release_memory
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the library
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _CODECS: dict[str, Codec] = {}
 
 
@@ -59,7 +61,7 @@ class Codec:
                 self.unknown = k
             elif p.type == kinds.CONTROL:
                 self.control.add(k)
-            elif p.piece:
+            elif p.piece and p.type != kinds.UNUSED:
                 self.automaton.add_word(p.piece, (len(p.piece), p.score, k))
                 scores.append(p.score)
                 if len(p.piece) == 1:
@@ -150,7 +152,7 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def codec(model_file: str) -> Codec:
-    """One codec for each model in a worker; its table of words outlives the task."""
+    """One codec for each model in a worker; tasks empty its table of words when they end."""
     if model_file not in _CODECS:
         _CODECS[model_file] = Codec(model_file)
     return _CODECS[model_file]
@@ -176,6 +178,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, model_file: str, *, verify
                     at += 1
                 lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(values, np.int32) if len(values) else np.array([], np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), lists, *[pa.array(same, pa.bool_())] * verify], names=[id_col, "ids", *["round_trip"] * verify])
+                del values, lists
+        own.words.clear()
+        release_memory()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -15,7 +15,8 @@ most ``LEAST_E`` are the reported passages; the document's statistic is the sum
 and a logistic curve fitted on documents held back from the token counts turns it into a score.
 
 Only labelled rows outside the held-out fold are learned from: at most ``MAX_TRAIN_DOCS``
-documents, chosen by a hash of the id. Everything learned is therefore bounded.
+documents, chosen by a hash of the id. Everything learned is therefore bounded, features included:
+those that pass are a small part of the different words of the sample.
 
 Defined results: a null text counts as empty and gets the score of no evidence; a null id is
 scored too (held_out is null); an id with several labels counts as toxic if any says so; a null
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 from heliotrace.llm.common import release_memory, store
 
 MAX_TRAIN_DOCS = 20_000
-MAX_TOKENS = 50_000
 PRIOR_SHARE = 0.1
 CANDIDATE_Z = 2.5
 LEAST_Z = 3.2
@@ -168,6 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.binary()), *(pa.array([n[k] for _, n in part], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
+        del rows
+        release_memory()
 
     counts = store(rows.mapInArrow(count, "word binary, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
     letters = F.col("word").cast("string")
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         prior = (of(0) + of(1)) * F.lit(PRIOR_SHARE)
         odds = F.log((F.col("toxic") + a) / (of(0) + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (of(1) + prior - F.col("clean") - a))
         z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-        return df.select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(MAX_TOKENS)
+        return df.select("word", odds.alias("odds"), z.alias("z"), (F.col("clean") / n_c).alias("p")).where(F.col("z") >= least)
 
     candidates = {bytes(r.word) for r in strong(counts.read().where(F.col("toxic") + F.col("clean") >= LEAST_COUNT), CANDIDATE_Z).select("word").collect()}
     counts.drop()
@@ -201,9 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         found.update((f, around, int(toxic > 0)) for f in features(w) if f in candidates)
             out = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], names=["word", "around", "kind"])
+        known.clear()
+        release_memory()
 
     distinct = rows.mapInArrow(contexts, "word binary, around binary, kind int").distinct().groupBy("word").agg(F.sum("kind").alias("toxic"), F.sum(1 - F.col("kind")).alias("clean"))
-    found = strong(distinct, LEAST_Z).collect()  # at most MAX_TOKENS
+    found = strong(distinct, LEAST_Z).orderBy("word").collect()
     model = Model({bytes(r.word): r.odds - DRIFT for r in found if r.odds > DRIFT})
     model.lam = _lambda([(r.odds - DRIFT, r.p) for r in found if r.odds > DRIFT])
 
@@ -213,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words = [tokens(t) for t in text]
             top = [max((s for s, _, _ in model.segments(w)), default=0.0) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(toxic, pa.int32()), pa.array(top), pa.array([len(w) for w in words], pa.int64()), pa.array([model.evidence(w)[0] for w in words])], names=["fold", "toxic", "top", "n", "evidence"])
+        model.forget()
 
     schema = "fold bigint, toxic int, top double, n bigint, evidence double"
     clean = rows.where("toxic = 0 and fold <> 4").mapInArrow(best, schema).where("n > 0").agg(F.avg(F.lit(model.lam) * F.col("top") - F.log("n")).alias("m")).first()
