@@ -4,15 +4,21 @@ Training. A word's features are itself and its first 4, 5 and 6 letters, so that
 form is known by its stem. Counts in toxic and clean documents give each feature's log-odds with
 an informative Dirichlet prior: its pseudo-count is its share of all training words times
 ``PRIOR_SHARE`` of their number. Features that pass ``CANDIDATE_Z`` are counted again by distinct
-neighbouring words, which near copies of one document share, and must then pass ``LEAST_Z``.
+neighbouring words, which near copies of one document share, and must then pass ``LEAST_Z`` and
+``LEAST_ODDS``, since a great sample makes any slight difference significant and a text that repeats
+one such word would collect it.
 A word scores its best feature's log-odds less ``DRIFT``, and -``DRIFT`` without any, so that
 text without evidence drifts down.
 Scoring. A linear scan finds all maximal scoring segments of a document. For segment score S in
 a text of n tokens the expected number of equally good chance segments is E = K n exp(-lambda S);
-lambda solves sum p(w) exp(lambda s(w)) = 1 over clean tokens, and K is fitted to the best
-segments of clean documents, whose scores follow an extreme-value law. Segments with E of at
+lambda solves sum p(w) exp(lambda s(w)) = 1 over clean tokens, and K is the least value for which
+no score is reached by more segments of clean documents than expected. It is 1 at most: by lambda's
+equation a segment from a given word reaches S with a chance of at most exp(-lambda S), which also
+bounds what wrong labels can do. A mean of the documents' best scores would not do for K: documents
+without any evidence draw it so low that weak segments of every text count. Segments with E of at
 most ``LEAST_E`` are the reported passages; the document's statistic is the sum of their ln(1/E),
-and a logistic curve fitted on documents held back from the token counts turns it into a score.
+and a logistic curve of its logarithm, fitted on documents held back from the token counts, turns it
+into a score. The logarithm keeps a few texts of very much evidence from flattening the curve.
 
 Only labelled rows outside the held-out fold are learned from: at most ``MAX_TRAIN_DOCS``
 documents, chosen by a hash of the id. Everything learned is therefore bounded, features included:
@@ -42,12 +48,14 @@ MAX_TRAIN_DOCS = 20_000
 PRIOR_SHARE = 0.1
 CANDIDATE_Z = 2.5
 LEAST_Z = 3.2
+LEAST_ODDS = math.log(2)
 LEAST_COUNT = 4
 STEMS = (4, 5, 6)
 KEPT_WORDS = 200_000
 DRIFT = 0.1
 LEAST_E = 0.5
-_EULER = 0.5772156649015329
+LEVELS = 4  # of a segment's lambda S, for each whole number
+MAX_LEVEL = 1_000
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -133,7 +141,7 @@ class Model:
         return total, out
 
     def probability(self, evidence: float) -> float:
-        x = self.offset + self.slope * evidence
+        x = self.offset + self.slope * math.log1p(evidence)
         return 0.0 if x < -700 else 1.0 / (1.0 + math.exp(-x))
 
 
@@ -207,23 +215,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         release_memory()
 
     distinct = rows.mapInArrow(contexts, "word binary, around binary, kind int").distinct().groupBy("word").agg(F.sum("kind").alias("toxic"), F.sum(1 - F.col("kind")).alias("clean"))
-    found = strong(distinct, LEAST_Z).orderBy("word").collect()
-    model = Model({bytes(r.word): r.odds - DRIFT for r in found if r.odds > DRIFT})
-    model.lam = _lambda([(r.odds - DRIFT, r.p) for r in found if r.odds > DRIFT])
+    found = strong(distinct, LEAST_Z).where(F.col("odds") >= LEAST_ODDS).orderBy("word").collect()
+    model = Model({bytes(r.word): r.odds - DRIFT for r in found})
+    model.lam = _lambda([(r.odds - DRIFT, r.p) for r in found])
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = Counter(), 0
         for batch in batches:
-            fold, toxic, text = (c.to_pylist() for c in batch.columns)
-            words = [tokens(t) for t in text]
-            top = [max((s for s, _, _ in model.segments(w)), default=0.0) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(toxic, pa.int32()), pa.array(top), pa.array([len(w) for w in words], pa.int64()), pa.array([model.evidence(w)[0] for w in words])], names=["fold", "toxic", "top", "n", "evidence"])
+            for text in batch.column(2).to_pylist():
+                words = tokens(text)
+                n += len(words)
+                seen.update(min(MAX_LEVEL, int(model.lam * s * LEVELS)) for s, _, _ in model.segments(words))
+        seen[-1] = n  # beside the levels, the number of words
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["level", "n"])
         model.forget()
 
-    schema = "fold bigint, toxic int, top double, n bigint, evidence double"
-    clean = rows.where("toxic = 0 and fold <> 4").mapInArrow(best, schema).where("n > 0").agg(F.avg(F.lit(model.lam) * F.col("top") - F.log("n")).alias("m")).first()
-    if clean.m is not None:
-        model.k = math.exp(min(50.0, max(-50.0, clean.m - _EULER)))
-    held = rows.where("fold = 4").mapInArrow(best, schema).groupBy("toxic", F.round("evidence", 1).alias("x")).count().collect()  # a bounded sample's histogram
+    levels = rows.where("toxic = 0 and fold <> 4").mapInArrow(chance, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    model.k = _k({r.level: int(r.n) for r in levels})
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.evidence(tokens(t))[0] for t in batch.column(2).to_pylist()], pa.float64())], names=["toxic", "evidence"])
+        model.forget()
+
+    held = rows.where("fold = 4").mapInArrow(evidence, "toxic int, evidence double").groupBy("toxic", F.round(F.log1p("evidence"), 2).alias("x")).count().collect()  # a bounded sample's histogram
     model.slope, model.offset = _logistic([(r.x, int(r.toxic > 0), r["count"]) for r in held])
     return model
 
@@ -242,10 +257,19 @@ def _lambda(steps: list[tuple[float, float]]) -> float:
     return max(high, 1e-3)
 
 
+def _k(levels: dict[int, int]) -> float:
+    """The least K, 1 at most, with which the expected segments at each level are not fewer than those of clean text; under -1 stands its number of words."""
+    n, above, most = max(1, levels.get(-1, 0)), 0, 0.0
+    for level in sorted(levels.keys() - {-1}, reverse=True):
+        above += levels[level]
+        most = max(most, above * math.exp(min(700.0, level / LEVELS)))
+    return min(1.0, max(1.0, most) / n)
+
+
 def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope (never negative) and offset of a lightly regularised logistic fit, by Newton steps."""
     if not points or len({y for _, y, _ in points}) < 2:
-        return 0.5, -2.0
+        return 1.25, -2.0
     x, y, n = (np.array(c, float) for c in zip(*points, strict=True))
     scale = max(1.0, float(np.abs(x).max()))
     b = np.zeros(2)

@@ -1,5 +1,6 @@
 """SentencePiece, token counts, toxicity, fingerprints and PII against plain versions, and their edge cases."""
 
+import math
 import random
 import re
 import unicodedata
@@ -154,6 +155,34 @@ def test_toxicity_learns_stems_and_keeps_all_columns(spark):
     assert len(edge) == len(EDGE) and all(0 <= r.score <= 1 for r in edge)
 
 
+def test_toxicity_by_two_words_among_common_ones(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    languages = [[word() for _ in range(40)] for _ in range(2)]
+    insults = ["zzvil", "zzmoron", "zzscum", "zztrash"]
+    texts, labels = [], []
+    for i in range(1500):
+        toxic = i % 6 == 0
+        common = languages[rng.random() < (0.2 if toxic else 0.45)]
+        words = [rng.choice(common) if rng.random() < 0.5 else word() for _ in range(rng.randint(30, 150))]
+        for _ in range(2 if toxic else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(insults))
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    df = docs(spark, texts)
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    held = [r for r in toxicity.score(df, model).withColumn("held", toxicity._fold("doc_id") == 0).collect() if r.held]
+    assert sum(r.score >= 0.5 for r in held if r.doc_id % 6 == 0) >= 0.95 * sum(r.doc_id % 6 == 0 for r in held)
+    assert sum(r.score < 0.5 for r in held if r.doc_id % 6) >= 0.99 * sum(r.doc_id % 6 > 0 for r in held)
+    assert all(model.evidence([w.encode()] * 200)[0] == 0 for w in sum(languages, []))
+
+
+def test_chance_segments_are_never_fewer_than_met():
+    assert toxicity._k({-1: 1000, 0: 10}) == pytest.approx(0.01)
+    assert toxicity._k({-1: 1000, 0: 10, 4 * toxicity.LEVELS: 1}) == pytest.approx(math.exp(4) / 1000)
+    assert toxicity._k({-1: 1000, 50 * toxicity.LEVELS: 1}) == 1 and toxicity._k({}) == 1 and toxicity._k({-1: 1000}) == 0.001
+
+
 def test_toxicity_without_examples(spark):
     model = toxicity.train(docs(spark, ["a b"]), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert [r.score for r in toxicity.score(docs(spark, ["a b", None]), model).collect()] == [0.0, 0.0]
