@@ -65,12 +65,25 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _PLACE = np.zeros((256, 8), np.uint8)  # of each one of a byte, from its highest bit
 for _byte in range(256):
     _at = [i for i in range(8) if _byte >> (7 - i) & 1]
     _PLACE[_byte, : len(_at)] = _at
-_GROUP = 32  # bytes whose bits are counted together
+_GROUP = 32  # bytes whose bits are counted together: four numbers of 64 bits
+_LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)  # the lowest and the highest bit of each byte
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which for large arrays is much faster than the table that np.unique makes."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if a.size else a
+
+
+def _ones_in_bytes(x: np.ndarray) -> np.ndarray:
+    """Each byte's number of ones, in that byte."""
+    x = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    return (x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
 
 
 class EliasFano:
@@ -81,11 +94,9 @@ class EliasFano:
 
     def __init__(self, low: np.ndarray, high: np.ndarray, n: int, low_bits: int):
         self.low, self.high, self.n, self.low_bits = low, high, n, low_bits
-        groups = -(-high.size // _GROUP)
-        filled = _ONES[high]
-        starts = np.arange(0, high.size, _GROUP)
-        self.ones_before = np.concatenate(([0], np.cumsum(np.add.reduceat(filled.astype(np.int64), starts) if high.size else np.array([], np.int64))))
-        self.zeros_before = np.arange(groups + 1, dtype=np.int64) * 8 * _GROUP - self.ones_before
+        self.words = high.view("<u8").reshape(-1, _GROUP // 8)
+        self.ones_before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words).sum(axis=1, dtype=np.int64))))
+        self.zeros_before = np.arange(self.ones_before.size, dtype=np.int64) * 8 * _GROUP - self.ones_before
         self.high_parts = int(8 * high.size - self.ones_before[-1])
 
     @staticmethod
@@ -95,7 +106,8 @@ class EliasFano:
         low = values & np.uint64((1 << low_bits) - 1)
         width = 1 if low_bits <= 8 else 2 if low_bits <= 16 else 4 if low_bits <= 32 else 5 if low_bits <= 40 else 8
         top = (values >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(n + (int(universe) >> low_bits) + 2, np.uint8)
+        size = n + (int(universe) >> low_bits) + 2
+        bits = np.zeros(size + -size % (8 * _GROUP), np.uint8)  # whole groups
         bits[top + np.arange(n)] = 1
         raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         return np.ascontiguousarray(raw).ravel(), np.packbits(bits), low_bits
@@ -107,16 +119,18 @@ class EliasFano:
         for at in range(0, k.size, 1 << 16):
             own = k[at : at + (1 << 16)]
             group = np.searchsorted(before, own, side="right") - 1
-            places = group[:, None] * _GROUP + np.arange(_GROUP)
-            raw = self.high[np.minimum(places, self.high.size - 1)]
-            if not one:
-                raw = ~raw
-            upto = np.cumsum(_ONES[raw], axis=1, dtype=np.int16)
-            left = (own - before[group])[:, None]
-            byte = np.argmax(upto > left, axis=1)
-            row = np.arange(own.size)
-            inside = left[:, 0] - np.where(byte > 0, upto[row, byte - 1], 0)
-            out[at : at + own.size] = places[row, byte] * 8 + _PLACE[raw[row, byte], np.minimum(inside, 7)]
+            left = own - before[group]
+            words = self.words[group] if one else ~self.words[group]
+            upto = np.cumsum(np.bitwise_count(words).T[:-1], axis=0, dtype=np.int64)
+            number = (left >= upto).sum(axis=0)  # of the word in its group
+            left -= np.where(number > 0, np.take_along_axis(upto, np.maximum(number - 1, 0)[None], 0)[0], 0)
+            word, inside = words[np.arange(own.size), number], left.astype(np.uint64)
+            with np.errstate(over="ignore"):
+                upto_byte = _ones_in_bytes(word) * _LOW  # in each byte the number of ones up to its end
+                byte = np.bitwise_count(((inside * _LOW | _HIGH) - upto_byte) & _HIGH).astype(np.uint64)  # bytes that end before the wanted one
+            shift = byte << np.uint64(3)
+            inside -= ((upto_byte << np.uint64(8)) >> shift) & np.uint64(255)
+            out[at : at + own.size] = (group * _GROUP + number * 8 + byte.astype(np.int64)) * 8 + _PLACE[(word >> shift) & np.uint64(255), inside]
         return out
 
     def _low(self, at: np.ndarray) -> np.ndarray:
@@ -159,7 +173,7 @@ def quantise(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndar
     """Codes and code book: equally filled bins, each standing for its mean."""
     if not values.size:
         return np.array([], np.uint8), np.zeros(1)
-    distinct = np.unique(values)
+    distinct = _distinct(values)
     if distinct.size <= levels:
         return np.searchsorted(distinct, values).astype(np.uint8), distinct
     edges = np.unique(np.quantile(values, np.linspace(0, 1, levels + 1)[1:-1]))
@@ -203,7 +217,9 @@ class Trie:
             return lower.copy()
         rank = np.minimum(np.searchsorted(self.contexts, contexts), self.contexts.size - 1)
         known = self.contexts[rank] == contexts
-        first, behind = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
+        fresh = np.concatenate(([True], rank[1:] != rank[:-1])) if rank.size else np.array([], bool)
+        one, run = rank[fresh], np.cumsum(fresh) - 1  # n-grams of one context stand together: its range is looked up once
+        first, behind = self.pointers.get(one).astype(np.int64)[run], self.pointers.get(one + 1).astype(np.int64)[run]
         at = self.successors.find((rank.astype(np.uint64) << np.uint64(self.code_bits)) | code, first, np.where(known, behind, first))
         out = np.where(known, self.backoff_book[self.backoff[rank]], 0.0) + lower
         out[at >= 0] = self.book[self.codes[at[at >= 0]]]
@@ -233,7 +249,7 @@ class _Scale:
 def _fit(context: np.ndarray, word: np.ndarray, n_contexts: int) -> np.ndarray:
     """Sums for the fit of m: over contexts, of the logarithms of their counts and of their numbers of successors."""
     counts = np.bincount(context, minlength=n_contexts)
-    pairs = np.unique((context << 32) | word)
+    pairs = _distinct((context << 32) | word)
     followers = np.bincount(pairs >> 32, minlength=n_contexts)
     use = followers > 0
     x, y = np.log(counts[use]), np.log(followers[use])

@@ -170,6 +170,32 @@ def test_elias_fano():
         assert (ef.find(values, np.arange(n) + 1, np.full(n, n))[values != np.append(values[1:], np.uint64(1 << 50))] == -1).all() if n else True
 
 
+def test_elias_fano_selects_in_all_groups():
+    rng = np.random.default_rng(5)
+    for n, universe in ((0, 1), (3, 1 << 20), (5000, 6000), (5000, 1 << 40), (200, 200_000)):
+        values = np.sort(rng.integers(0, universe, n)).astype(np.uint64)
+        low, high, bits = lm_scoring.EliasFano.parts(values, universe)
+        ef, plain = lm_scoring.EliasFano(low, high, n, bits), np.unpackbits(high)
+        for one in (True, False):
+            places = np.flatnonzero(plain == one)
+            k = rng.permutation(places.size)
+            assert (ef._select(k, one) == places[k]).all()
+
+
+def test_a_contexts_range_is_looked_up_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    contexts, rank = np.sort(rng.integers(0, 1 << 60, 20).astype(np.uint64)), np.repeat(np.arange(20), 50)
+    code = np.concatenate([np.sort(rng.choice(1 << 30, 50, replace=False)) for _ in range(20)]).astype(np.uint64)
+    log_p = -rng.random(1000)
+    trie = lm_scoring.Trie(lm_scoring.Trie.packed(contexts, np.zeros(20), rank, code, log_p, 32))
+    asked = []
+    monkeypatch.setattr(trie.pointers, "_select", lambda k, one, select=trie.pointers._select: asked.append(k.size) or select(k, one))
+    got = trie.log10(contexts[rank], code, np.zeros(1000))
+    assert np.abs(got - log_p).max() < 0.05 and sum(asked) == 2 * 20
+    mixed = rng.permutation(1000)
+    assert (trie.log10(contexts[rank[mixed]], code[mixed], np.zeros(1000)) == got[mixed]).all()
+
+
 def lm_reference(texts, order, fits):
     words = [re.findall(r"[^\x20\x09-\x0d]+", (t or "").encode().lower().decode()) + ["\0"] for _, t in texts]
     held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts]
