@@ -106,6 +106,28 @@ def test_counts_table(spark):
         assert r.ids == library.many([text or ""])[0] and r.n_tokens == len(r.ids) and r.n_bytes == len((text or "").encode())
 
 
+def test_runs_of_letters_and_signs_are_encoded_once(codec, monkeypatch):
+    codec.forget()
+    asked = []
+    monkeypatch.setattr(codec, "best_path", lambda chunk, run=codec.best_path: asked.append(chunk) or run(chunk))
+    text = "the$$$ the%%% the. the,\nthe 1the2 the"
+    assert codec.decode(codec.encode(text)) == text
+    assert asked.count("▁the") == 1 and len(asked) == len(set(asked)) and not [c for c in asked if "the" in c and c not in ("the", "▁the")]
+
+
+def test_verified_pieces_of_any_text(codec, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_WORDS", 20)
+    codec.forget()
+    texts = ["".join(rng.choice("aeéßñthe.$%  \n\t12▁中据😀\0Жд<0x>") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    for text in [*texts, "<0x0A>", "<unk>", "▁", " ▁ ", "", *texts]:
+        raw, same = codec.verified(text)
+        ids = codec.best_path(codec.normalize(text))
+        assert raw == ids.tobytes() == codec.encode(text).tobytes() and same == (codec.decode(ids) == text)
+        assert len(codec.words) <= 10 and len(codec.older) <= 10
+    codec.forget()
+
+
 # toxicity ---------------------------------------------------------------------------------------
 
 
