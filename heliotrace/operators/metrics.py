@@ -3,23 +3,26 @@
 Point k of a grid is ``start + k * step``, and a last point lies at ``end`` even off the grid. A
 sample at ts with window w and offset o counts at the points of [ts + o, ts + o + w): two integer
 divisions give the first and last k, and one explode deals the sample to them. Everything after
-that is hash aggregation on (series, k); the samples are read once for all points.
+that is aggregation on (series, k); the samples are read once for all points. Rates are summed up
+before the explode, over samples that the same points see.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliotrace.errors import BadRequest, LimitExceeded
+from heliotrace.functions import partitions
 from heliotrace.functions import semantics as S
 from heliotrace.operators.logs import in_range, matches
 from heliotrace.plans import promql
 
 MAX_STEPS = 11_000
+SLOTS = 32
 COLUMNS = ("k", "labels", "labels_key", "value", "name")
 
 
@@ -53,18 +56,24 @@ class Grid:
     def points(self, spark) -> DataFrame:
         return spark.range(self.regular + self.extra).select(F.col("id").alias("k"))
 
-    def visible(self, ts: Column, window: int) -> Column:
-        """The points at which a sample whose time (offset included) is ts counts."""
+    def bounds(self, ts: Column, window: int) -> tuple[Column, Column, Column]:
+        """First and last regular point at which a sample whose time (offset included) is ts counts, and whether an end off the grid counts it; none of them falls as ts grows."""
         step, start = F.lit(self.step), F.lit(self.start)
         ahead = ts - start
         first = F.greatest(F.lit(0).cast("long"), F.when(ahead > 0, _div(ahead + step - 1, step)).otherwise(F.lit(0).cast("long")))
         room = ts + F.lit(window - 1) - start
         last = F.least(F.lit(self.regular - 1).cast("long"), F.when(room >= 0, _div(room, step)).otherwise(F.lit(-1).cast("long")))
-        own = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        if not self.extra:
-            return own
-        at_end = F.when((ts <= self.end) & (ts > self.end - window), F.array(F.lit(self.regular).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(own, at_end)
+        return first, last, (ts <= self.end) & (ts > self.end - window) if self.extra else F.lit(False)
+
+    def between(self, first: Column, last: Column, at_end: Column) -> Column:
+        """The points of such bounds."""
+        none = F.array().cast("array<bigint>")
+        own = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+        return F.concat(own, F.when(at_end, F.array(F.lit(self.regular).cast("long"))).otherwise(none)) if self.extra else own
+
+    def visible(self, ts: Column, window: int) -> Column:
+        """The points at which a sample whose time (offset included) is ts counts."""
+        return self.between(*self.bounds(ts, window))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -73,6 +82,11 @@ def _div(a: Column, b: Column) -> Column:
     return (whole.cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
 
 
+def _rise(before: Column, value: Column) -> Column:
+    """What a counter has risen by since the sample before; a fall is a start from 0."""
+    return F.when(before.isNull(), F.lit(0.0)).when((value < before) & ~F.isnan(before), value).otherwise(value - before)
+
+
 def select_samples(df: DataFrame, matchers) -> DataFrame:
     return df.where(reduce(Column.__and__, (matches(S.label(F.col("labels"), m.name), m.op, m.value) for m in matchers))) if matchers else df
 
@@ -90,12 +104,19 @@ class Evaluator:
     def eval(self, node) -> DataFrame | float:
         return getattr(self, "_" + type(node).__name__.lower())(node)
 
-    def _dealt(self, s: promql.Selector, window: int) -> DataFrame:
-        """(series, k, ts, seq, value): each sample at each point that sees it. Ranges are cut before the explode."""
+    @cached_property
+    def _bytes(self) -> int | None:
+        return partitions.source_bytes(self.samples)
+
+    def _seen(self, s: promql.Selector, window: int) -> DataFrame:
+        """(series, labels, seq, value, ts): the samples that points may see; the range is cut here."""
         g = self.grid
         df = in_range(select_samples(self.samples, s.matchers), g.start - s.offset - window + 1, g.end - s.offset)
-        ts = F.col("timestamp_nanos") + F.lit(s.offset)
-        return df.select(S.label_key(F.col("labels")).alias("series"), "labels", "seq", "value", ts.alias("ts"), F.explode(g.visible(ts, window)).alias("k"))
+        return df.select(S.label_key(F.col("labels")).alias("series"), "labels", "seq", "value", (F.col("timestamp_nanos") + F.lit(s.offset)).alias("ts"))
+
+    def _dealt(self, s: promql.Selector, window: int) -> DataFrame:
+        """(series, k, ts, seq, value): each sample at each point that sees it."""
+        return self._seen(s, window).withColumn("k", F.explode(self.grid.visible(F.col("ts"), window)))
 
     def _finish(self, df: DataFrame, value: Column) -> DataFrame:
         labels = S.drop_labels(F.col("labels"), [promql.NAME])
@@ -105,14 +126,29 @@ class Evaluator:
         newest = self._dealt(s, promql.LOOKBACK).groupBy("series", "k").agg(F.max_by("value", F.struct("ts", "seq")).alias("v"), F.first("labels").alias("labels"))
         return self._finish(newest, F.col("v"))
 
+    def _panes(self, s: promql.Selector) -> DataFrame:
+        """One row for the samples of a series that the same points see, in slots of a 32nd of the range: their bounds, times, first and last value and the rises between them."""
+        first, last, at_end = self.grid.bounds(F.col("ts"), s.range)
+        df = self._seen(s, s.range).withColumns({"first": first, "last": last, "at_end": at_end, "slot": F.col("ts") - F.pmod(F.col("ts"), F.lit(max(1, s.range // SLOTS)))})
+        df = partitions.spread(df.where((F.col("first") <= F.col("last")) | F.col("at_end")), self._bytes, "series", "slot")
+        pane = ("slot", "first", "last", "at_end", "series")
+        w = Window.partitionBy(*pane).orderBy("ts", "seq")
+        rows = df.withColumns({"before": F.lag("value").over(w), "i": F.row_number().over(w), "after": F.lead("ts").over(w)})
+        v = F.col("value")
+        return rows.groupBy(*pane).agg(
+            F.sum(_rise(F.col("before"), v)).alias("rise"), F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"),
+            F.max(F.when(F.col("i") == 1, v)).alias("head"), F.max(F.when(F.col("after").isNull(), v)).alias("tail"), F.first("labels").alias("labels"),
+        )
+
     def _rate(self, r: promql.Rate) -> DataFrame:
-        dealt = self._dealt(r.selector, r.selector.range)
-        w = Window.partitionBy("series", "k").orderBy("ts", "seq")
-        before = F.lag("value").over(w)
-        rise = F.when(before.isNull(), F.lit(0.0)).when((F.col("value") < before) & ~F.isnan(before), F.col("value")).otherwise(F.col("value") - before)
-        sums = dealt.withColumn("rise", rise).groupBy("series", "k").agg(F.sum("rise").alias("rise"), F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"), F.first("labels").alias("labels"))
+        g, window = self.grid, r.selector.range
+        seen = min(g.regular + g.extra, -(-window // g.step), 8)  # panes of a point: few, or as many as samples
+        dealt = self._panes(r.selector).withColumn("k", F.explode(g.between(F.col("first"), F.col("last"), F.col("at_end"))))
+        dealt = partitions.spread(dealt, self._bytes and self._bytes * seen, "series", "k")
+        jump = _rise(F.lag("tail").over(Window.partitionBy("k", "series").orderBy("low")), F.col("head"))
+        sums = dealt.withColumn("jump", jump).groupBy("k", "series").agg((F.sum("rise") + F.sum("jump")).alias("rise"), F.sum("n").alias("n"), (F.max("high") - F.min("low")).alias("span"), F.first("labels").alias("labels"))
         rate = F.col("rise") / (F.col("span") / F.lit(1e9))
-        return self._finish(sums.where("n >= 2 and span > 0"), rate * F.lit(r.selector.range / 1e9) if r.increase else rate)
+        return self._finish(sums.where("n >= 2 and span > 0"), rate * F.lit(window / 1e9) if r.increase else rate)
 
     def _number(self, node: promql.Number) -> float:
         return node.value

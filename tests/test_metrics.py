@@ -1,11 +1,14 @@
 """Known answers of the metric evaluator."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from heliotrace import views as V
 from heliotrace.errors import BadRequest, LimitExceeded
+from heliotrace.functions import partitions
 from heliotrace.operators import metrics
 
 T0, S = 1_750_000_000 * 10**9, 10**9
@@ -109,3 +112,77 @@ def test_first_metric_by_name_matches(spark):
     values = lambda text: sorted(r.value for r in metrics.instant(df, text, T0).collect())
     assert values('a - {x="1"}') == [0.0] and values('b - {x="1"}') == [-7.0] and values('{x="1"} - {x="1"}') == [-7.0, 0.0]
     assert values('c or {x="1"}') == [10.0] and values('{x="1"} or a') == [3.0, 10.0]
+
+
+SAMPLES = "timestamp_nanos bigint, seq bigint, labels map<string,string>, value double"
+
+
+def brute_rates(rows, times, window):
+    """(time, app) -> rate, sample by sample."""
+    out = {}
+    for at in times:
+        by = {}
+        for t, i, labels, v in sorted(rows, key=lambda r: r[:2]):
+            if at - window < t <= at:
+                by.setdefault(labels["app"], []).append((t, v))
+        for app, own in by.items():
+            span = own[-1][0] - own[0][0]
+            pairs = [(a, b) for (_, a), (_, b) in zip(own, own[1:], strict=False) if a is not None and b is not None]
+            rise = sum(b if not math.isnan(a) and (b < a and not math.isnan(b)) else b - a for a, b in pairs)
+            if len(own) > 1 and span > 0:
+                out[at, app] = rise / (span / 1e9)
+    return out
+
+
+@pytest.mark.parametrize(("window", "step"), [(40, 10), (45, 10), (7, 10), (100, 10), (1, 1), (33, 50)])
+def test_rates_by_panes_match_brute_force(spark, window, step):
+    """Resets, gaps, ties in time, nulls, NaN, windows that are no multiple of the step, an end off the grid."""
+    draw, rows = random.Random(window * step), []
+    for i in range(400):
+        t, app = draw.randrange(-60, 240), draw.choice("ab")
+        v = None if i % 41 == 0 else math.nan if i % 67 == 0 and app == "b" else float(draw.randrange(50))
+        rows.append((T0 + t * S, i, {"__name__": "x", "app": app}, v))
+    end = T0 + 205 * S if step > 1 else T0 + 200 * S
+    times = sorted({*range(T0, end + 1, step * S), end})
+    df = metrics.query_range(spark.createDataFrame(rows, SAMPLES), f"rate(x[{window}s])", T0, end, step * S)
+    got = {(r.timestamp_nanos, r.labels["app"]): r.value for r in df.collect()}
+    assert got == pytest.approx(brute_rates(rows, times, window * S), nan_ok=True) and (got or window == 1)
+
+
+def test_rates_are_summed_before_points_see_them(spark, tmp_path):
+    """Samples are sorted once, not once for each point, and a series is dealt over tasks; both grew with windows and density."""
+    rows = spark.range(20_000).select((F.lit(T0) + F.col("id") * S).alias("timestamp_nanos"), F.col("id").alias("seq"), F.create_map(F.lit("__name__"), F.lit("x")).alias("labels"), F.col("id").cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/x")
+    ask = lambda: metrics.query_range(spark.read.parquet(f"{tmp_path}/x"), "rate(x[8000s])", T0, T0 + 20_000 * S, 1_000 * S)
+    plan = ask()._jdf.queryExecution().optimizedPlan().toString()
+    kinds = [k for line in plan.splitlines() for k in ("Window", "Generate") if line.lstrip(" :+-").startswith(k)]
+    assert kinds == ["Window", "Generate", "Window"]
+    e = metrics.Evaluator(spark.read.parquet(f"{tmp_path}/x"), metrics.Grid(T0, T0 + 20_000 * S, 1_000 * S))
+    panes = e._panes(metrics.promql.parse("rate(x[8000s])").selector)
+    shares = [r["n"] for r in panes.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    assert sum(shares) == 20_000 and max(shares) < 8_000
+
+
+def test_partitions_follow_the_sources(spark, tmp_path):
+    assert [partitions.count_for(n << 20) for n in (0, 1, 100, 720, 3_200, 6_400)] == [12, 12, 25, 180, 200, 400]
+    spark.range(1_000).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert 0 < partitions.source_bytes(t.join(t, "id")) < 1 << 20
+    assert partitions.source_bytes(spark.createDataFrame([(1,)], "id bigint").union(t)) is None
+    assert partitions.spread(t, 100 << 20, "id").rdd.getNumPartitions() == 25
+
+
+def test_counter_numbers_events_in_many_tasks(spark, tmp_path):
+    """Of one app and event type: before, all events met in one task. Events without a time, a user or a type are numbered as well."""
+    at = lambda i: f"2024-01-{1 + i // 24 % 28:02d} {i % 24:02d}:30:00"
+    rows = [(i, None if i % 97 == 0 else at(i * 7), None if i % 89 == 0 else 5, None if i % 83 == 0 else "click", 1.0, '{"k": 1}') for i in range(3_000)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = V.counter(spark, str(tmp_path))
+    shares = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("value")).collect()]
+    assert sum(shares) == 3_000 and max(shares) < 1_000
+    groups = {}
+    for i, t, user, kind, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0])):
+        groups.setdefault((None if user is None else "app-0", kind), []).append(i)
+    want = {i: float(n % 200 + 1) for own in groups.values() for n, i in enumerate(own)}
+    assert {r.seq: r.value for r in got.collect()} == want
