@@ -1,5 +1,6 @@
 """Known answers of the metric evaluator."""
 
+import itertools
 import math
 import random
 
@@ -186,3 +187,15 @@ def test_counter_numbers_events_in_many_tasks(spark, tmp_path):
         groups.setdefault((None if user is None else "app-0", kind), []).append(i)
     want = {i: float(n % 200 + 1) for own in groups.values() for n, i in enumerate(own)}
     assert {r.seq: r.value for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["prom_vector_arith", "prom_sum_by"])
+def test_queries_sort_events_before_points_see_them(spark, name):
+    """Below each explode to points there is the sort for rates, besides those that number the events."""
+    from heliotrace.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i in [i for i, line in enumerate(plan) if line.lstrip(" :+-").startswith("Generate")]:
+        below = list(itertools.takewhile(lambda line: depth(line) > depth(plan[i]), plan[i + 1 :]))
+        assert sum(line.lstrip(" :+-").startswith("Window") for line in below) == 3  # rates, numbers within hours, hours before
