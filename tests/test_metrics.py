@@ -189,7 +189,7 @@ def test_counter_numbers_events_in_many_tasks(spark, tmp_path):
     assert {r.seq: r.value for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["prom_vector_arith", "prom_sum_by"])
+@pytest.mark.parametrize("name", ["prom_vector_arith", "prom_sum_by", "prom_sum_without"])
 def test_queries_sort_events_before_points_see_them(spark, name):
     """Below each explode to points there is the sort for rates, besides those that number the events."""
     from heliotrace.queries import QUERIES
